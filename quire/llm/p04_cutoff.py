@@ -172,7 +172,9 @@ def cut_values(df: DataFrame, fields: list[str], key: str = "id", source: str =
         .join(F.broadcast(total), "field").join(lasts, "last", "left")
         .fillna(0, ["ends", "inside", "begins"])
     )
-    unseen = (F.col("ends") + F.col("inside")) <= 1
+    uses = F.col("ends") + F.col("inside")
+    fragment = F.col("begins") > 100 * (uses + 1)  # a beginning, hardly ever seen as a word
+    unseen = (uses <= 1) | fragment
     boundary = (1 - MID_WORD) * ((F.col("inside") + 0.2) / (F.col("all_inside") + 1)) / ((F.col("ends") + 0.2) / (F.col("all_ends") + 1))
     ratio = (
         F.when(F.col("marked") | F.col("broken"), F.lit(1e6))
