@@ -93,7 +93,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             a, b = m.span()
             if kind == "name":
                 family = m["a"] or m["b"] or m["c"]
-                if family in OPENERS or (text[max(0, a - 4) : a].lower().endswith("the ") and TERM.match(text[b : b + 40])):
+                if family.capitalize() in OPENERS or (m["b"] and family.isupper()) or (text[max(0, a - 4) : a].lower().endswith("the ") and TERM.match(text[b : b + 40])):
                     continue
             if any(x < b and a < y for _, x, y in taken):
                 continue
