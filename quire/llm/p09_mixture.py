@@ -72,7 +72,7 @@ def plan(documents: DataFrame, targets: DataFrame, seed: int = 7, total: float |
     spark = documents.sparkSession
     goals = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source is not null")
     docs = documents.select("doc_id", "source", "text").join(F.broadcast(goals.select("source")), "source", "left_semi")
-    docs = cut(docs.select("doc_id", "source", token_counter(tokenizer)("text").alias("tokens"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**40)).alias("u")))
+    docs = cut(docs.select("doc_id", "source", token_counter(tokenizer)("text").alias("tokens"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**40)).alias("u")).where("tokens > 0"))
     have = goals.join(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").fillna(0, ["tokens"])
     rows = have.collect()  # one row a target: their table is a setting, not data
     known = {r["source"]: (float(r["target_share"]), float(r["tokens"]), float(r["max_repeats"])) for r in rows}
