@@ -98,7 +98,7 @@ def clean(x: str | Column) -> Column:
 
 
 def sentences(x: str | Column, least: int = 6) -> Column:
-    return F.filter(F.transform(F.split(c(x), r"[.!?]+\s+"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(c(x), r"[.!?]+\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def words(x: str | Column, least: int = 1) -> Column:

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
-KEY = F.md5(F.lower(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "))))
-
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with the same words: first id, size and wasted characters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", KEY.alias("k"))
+    key = F.md5(F.lower(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "))))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", key.alias("k"))
     g = d.groupBy("k").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"), F.sum("n_chars").alias("chars"), F.min_by("n_chars", "doc_id").alias("first_chars"))
     return g.where("copies > 1").select("keep_id", "copies", (F.col("chars") - F.col("first_chars")).alias("wasted_chars"))
 

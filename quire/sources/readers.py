@@ -33,7 +33,7 @@ def read_chat(spark: SparkSession, path: str) -> DataFrame:
     answer = F.from_json(F.element_at("messages", -1)["content"], "title string, authors string")
     ask = F.element_at("messages", -2)["content"]
     inside = F.regexp_extract(ask, r"(?s)<text>(.*?)</text>", 1)
-    return rows.select(answer["title"].alias("title"), F.transform(F.split(answer["authors"], ";"), F.trim).alias("authors"), F.when(inside != "", F.trim(inside)).otherwise(ask).alias("text"), "messages").where("title is not null")
+    return rows.select(answer["title"].alias("title"), F.transform(F.split(answer["authors"], ";"), lambda a: F.trim(a)).alias("authors"), F.when(inside != "", F.regexp_replace(inside, r"^\s+|\s+$", "")).otherwise(ask).alias("text"), "messages").where("title is not null")
 
 
 def clean_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -50,12 +50,12 @@ def read_words(spark: SparkSession, path: str, longest: int = 100) -> DataFrame:
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     """Entries with a title: kind, key, title, authors, year (null if it is no number), doi."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entry = text.select(F.explode(F.split("value", r"(?m)^\s*@")).alias("e")).where(F.col("e").rlike(r"^\w+\s*\{"))
 
     def field(name: str) -> Column:
         v = F.regexp_extract("e", rf'(?is)\b{name}\s*=\s*[{{"]+(.*?)["}}]+\s*,?\s*(?:\n|$)', 1)
-        return F.when(F.trim(v) != "", F.trim(F.regexp_replace(v, r"[{}]|\s+", " ")))
+        return F.when(F.trim(v) != "", F.trim(F.regexp_replace(F.regexp_replace(v, r"[{}]", ""), r"\s+", " ")))
 
     year = F.coalesce(field("year"), F.regexp_extract("e", r"(?i)\byear\s*=\s*(\d{4})", 1)).try_cast("int")
     cols = entry.select(F.lower(F.regexp_extract("e", r"^(\w+)", 1)).alias("kind"), F.regexp_extract("e", r"^\w+\s*\{\s*([^,\s]+)", 1).alias("key"), field("title").alias("title"), F.split(field("author"), r"\s+and\s+").alias("authors"), year.alias("year"), field("doi").alias("doi"))
@@ -64,7 +64,7 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Entries of Atom feeds: id after ``/abs/``, title, authors (or Unknown), year."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     e = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<entry>.*?</entry>"), 0)).alias("e"))
     title = F.trim(F.regexp_replace(F.xpath_string("e", F.lit("entry/title")), r"\s+", " "))
     authors = F.xpath("e", F.lit("entry/author/name/text()"))
