@@ -58,6 +58,8 @@ SHORT = 4  # letters that an abbreviated word of an organisation's theme keeps
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     text = text.lower().replace("ß", "ss").replace("ø", "o").replace("ł", "l").replace("đ", "d").replace("æ", "ae").replace("œ", "oe").replace("ı", "i")
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
 
