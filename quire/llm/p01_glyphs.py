@@ -8,7 +8,7 @@ called per row.
 
 Defined cases: null stays null; empty text stays empty; text of any length is treated whole;
 repeated rows are treated alike; an empty table gives an empty result; other columns are kept
-untouched (the result's new columns must not exist yet, else ``ValueError``).
+untouched, but those that bear the name of a new column are replaced by it.
 """
 
 from __future__ import annotations
@@ -240,10 +240,7 @@ def canonical(texts: pa.Array) -> pa.Array:
 
 def consistent(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<column>_consistent`` and ``<column>_changed`` for each text column."""
-    new = {f"{c}_consistent": canonical(F.col(c)) for c in columns}
-    if clash := set(df.columns) & {*new, *(f"{c}_changed" for c in columns)}:
-        raise ValueError(f"columns exist: {sorted(clash)}")
-    return df.withColumns(new).withColumns({f"{c}_changed": F.coalesce(F.col(c) != F.col(f"{c}_consistent"), F.lit(False)) for c in columns})
+    return df.withColumns({f"{c}_consistent": canonical(F.col(c)) for c in columns}).withColumns({f"{c}_changed": F.coalesce(F.col(c) != F.col(f"{c}_consistent"), F.lit(False)) for c in columns})
 
 
 FIELDS = ["title", "file_path"]

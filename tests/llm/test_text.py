@@ -47,8 +47,8 @@ def test_p1_cases(text, want):
 def test_p1_frame(spark, tables):
     d = spark.createDataFrame([(1, "ａ" * 100_000, "x", "own"), (1, None, "", "own"), (2, "plain", "y z", "own")], "id long, title string, file_path string, title_extra string")
     assert {tuple(r) for r in p1.p1_found(spark, tables(papers=d)).collect()} == {(1, "title"), (2, "file_path")}
-    with pytest.raises(ValueError, match="exist"):
-        p1.consistent(d.withColumn("title_changed", F.lit(1)), ["title"])
+    clash = p1.consistent(d.withColumn("title_changed", F.lit(1)), ["title"])
+    assert clash.where("title_changed").count() == 1 and clash.first()["title_extra"] == "own"
     assert p1.consistent(d.limit(0), ["title"]).count() == 0
 
 
