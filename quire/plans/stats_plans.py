@@ -189,7 +189,7 @@ def k02_text_quality(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.round(F.log10(1 + n), 6).alias("size_score"), (n - F.length(F.replace("text", F.lit("."), F.lit("")))).cast("long").alias("stops"), F.least(F.lit(1.0), F.round(n / 1000.0, 6)).alias("length_score"))
 
 
-@plan("""select id, round(0.4 * (case when length(coalesce(title, '')) > 10 then 1 else 0 end) + 0.3 * (case when coalesce(authors, '[]') <> '[]' then 1 else 0 end) + 0.2 * (case when length(coalesce(abstract, '')) > 100 then 1 else 0 end) + 0.1 * (case when trim(coalesce(doi, '')) <> '' then 1 else 0 end), 4) as score from papers""")
+@plan("""select id, round(0.4 * (case when length(coalesce(title, '')) > 10 then 1 else 0 end) + 0.3 * (case when coalesce(authors, '[]') <> '[]' then 1 else 0 end) + 0.2 * (case when length(coalesce(abstract, '')) > 100 then 1 else 0 end) + 0.1 * (case when trim(coalesce(doi, '')) <> '' then 1 else 0 end), 4)::double as score from papers""")
 def k01_metadata_score(s: SparkSession, d: str) -> DataFrame:
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     e = lambda c, v="": F.coalesce(F.col(c), F.lit(v))
