@@ -54,6 +54,7 @@ LEGAL = {
 HEADS = {"collaboration", "group", "working group", "laboratory", "institute", "consortium", "project", "network", "team", "university", "centre", "society", "department", "foundation", "academy", "school", "association"}
 DROPPED = {"the", "for", "of", "on", "in", "and", "&", "at", "a", "an"}
 SHORT = 4  # letters that an abbreviated word of an organisation's theme keeps
+SLIP = 0.1  # a given name with a smaller share of the rows of one a slip away is a slip
 
 
 def fold(text: str) -> str:
@@ -181,9 +182,15 @@ def entities(papers: DataFrame, authors: str = "authors") -> DataFrame:
     short = F.length("given") <= 1
     full = names.where(~short).groupBy("given", "family").agg(F.sum("n").alias("n")).withColumn("form", F.concat_ws("|", "given", "family"))
     full = cut(full)
-    # Known given names: those that many families use. Two of them are never a slip of one another.
-    usual = full.groupBy("given").agg(F.count("*").alias("families")).where("families >= 5").select("given", F.lit(True).alias("usual"))
-    full = full.join(usual, "given", "left").withColumn("usual", F.coalesce("usual", F.lit(False)) | F.col("given").isin(sorted(set(NICKNAMES.values()))))
+    # Two usual given names are never a slip of one another. A name is usual if families other than the own bear it,
+    # not much more rarely than any name a slip away from it: shares of rows, which do not change as a table grows.
+    people = cut(full.where(~F.col("given").startswith("#")).groupBy("given").agg(F.sum("n").alias("rows")))
+    spelled = people.select("given", "rows", slips("given").alias("key"))
+    beside = spelled.join(spelled.toDF("given_y", "rows_y", "key"), "key").where("given <> given_y and rows < rows_y").select("given", "given_y", "rows_y").distinct().where(within_one("given", "given_y"))
+    people = people.join(beside.groupBy("given").agg(F.max("rows_y").alias("most")), "given", "left")
+    full = full.join(people, "given", "left").withColumn("others", F.col("rows") - F.col("n"))
+    known = F.col("given").isin(sorted(set(NICKNAMES.values())))
+    full = full.withColumn("usual", known | F.coalesce((F.col("others") > 0) & (F.col("others") >= SLIP * F.coalesce("most", F.lit(0))), F.lit(False)))
     keys = full.select("form", "given", "family", "n", "usual", slips("form").alias("key"))
     a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("form", "given", "family", "n", "usual"))) for s in "ab")
     met = a.join(b, "key").where("form_a <> form_b and (n_b, form_a) > (n_a, form_b) and not (usual_a and usual_b and given_a <> given_b)")
