@@ -104,6 +104,21 @@ def test_p5_brute_force(spark, tables):
     assert all(groups[a] == groups[b] for a, b in got) and set(groups) == set(sets)
 
 
+def test_p5_every_pair_at_the_threshold(spark, tables):
+    rng = random.Random(11)
+    usual, vocab = [f"u{i}" for i in range(30)], [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(80):  # words that all have, and others of which half are shared
+        base = rng.sample(vocab, 36)
+        out = rng.randint(11, 15)
+        for w in (base, base[out:] + rng.sample([v for v in vocab if v not in base], out)):
+            rows.append((len(rows), "", " ".join(usual + w)))
+    at = tables(papers=spark.createDataFrame(rows, "id long, title string, abstract string"))
+    sets = {i: words(a) for i, _, a in rows}
+    truth = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 65 * len(sets[a] | sets[b])}
+    assert len(truth) > 30 and {tuple(r) for r in p5.p5_found(spark, at).collect()} == truth
+
+
 def test_p5_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(40)], "node long")
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 29)] + [(31, 33)], "class_a long, class_b long")
