@@ -119,6 +119,18 @@ def test_p5_every_pair_at_the_threshold(spark, tables):
     assert len(truth) > 30 and {tuple(r) for r in p5.p5_found(spark, at).collect()} == truth
 
 
+def test_p5_edits_of_a_text_that_many_rows_have(spark, tables):
+    rng = random.Random(5)
+    text, other = [f"t{i}" for i in range(90)], [f"w{i}" for i in range(4000)]
+    rows = [(i, "", " ".join(text)) for i in range(20)]
+    rows += [(20 + i, "", " ".join(text[i:80 + i] + rng.sample(other, 25))) for i in range(3)]  # 80 of 115 words shared
+    rows += [(30 + i, "", " ".join(rng.sample(other, 60))) for i in range(40)]
+    at = tables(papers=spark.createDataFrame(rows, "id long, title string, abstract string"))
+    sets = {i: words(a) for i, _, a in rows}
+    truth = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 65 * len(sets[a] | sets[b])}
+    assert (0, 20) in truth and {tuple(r) for r in p5.p5_found(spark, at).collect()} == truth
+
+
 def test_p5_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(40)], "node long")
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 29)] + [(31, 33)], "class_a long, class_b long")
