@@ -1,5 +1,6 @@
 """Problems 2, 3, 5, 7: against brute force, SQL and small cases."""
 
+import itertools
 import random
 import re
 
@@ -80,6 +81,17 @@ def words(t):
     return set(re.findall(r"[^\W_]+", t.lower()))
 
 
+def test_p3_usual_words_without_name_or_year(spark):
+    words_ = "algebra boundary cohomology dynamics entropy fibration geometry homotopy".split()
+    titles = [" ".join(c) for c in itertools.combinations(words_, 5)][:40]
+    kind = "id long, title string, authors array<string>, date string, venue string"
+    papers = spark.createDataFrame([(i, t, [f"Ann Fam{chr(97 + i % 26)}ilar"], f"{1950 + i}-01", "") for i, t in enumerate(titles)], kind)
+    records = spark.createDataFrame([(100, titles[7], [], None, ""), (101, titles[9], ["Bo Zzyzx"], "2020-05", "")], kind)
+    # all words are usual: neither a record without authors and date nor one with others may lose its title's paper
+    got = {(r["paper_id"], r["record_id"]) for r in p3.link(papers, records).collect()}
+    assert {(7, 100), (9, 101)} <= got
+
+
 def test_p5_brute_force(spark, tables):
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(400)]
