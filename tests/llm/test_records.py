@@ -19,8 +19,10 @@ PAPER = "id long, file_hash string, file_size long, source string, confidence do
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
-def test_sql(spark, small, name):
-    compare(queries.queries()[name](spark, small), connect(small).sql(queries.oracle_sql()[name]))
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_sql(spark, name, scale):
+    at = f"/root/testdata/sf{scale}"
+    compare(queries.queries()[name](spark, at), connect(at).sql(queries.oracle_sql()[name]))
 
 
 def test_p2_cases(spark):
@@ -36,6 +38,40 @@ def test_p2_cases(spark):
     assert p2.survivors(d.limit(0), trust).count() == 0
 
 
+@pytest.mark.parametrize(("early", "late"), [
+    ("", "2022-04-24"), ("  ", "1999-01-01T00:00:00"), (None, "2022-04-24"), ("today", "2022-04-24"), ("2022-04", "2022-04-01"), ("2022-04-24", "2022-04-24T00:00:01"),
+    ("2022-04-24T12:00:00+0200", "2022-04-24 10:00:01"), ("2022-04-24T12:00:00+02", "2022-04-24T10:00:00.5Z"), ("12:30:00", "1970-01-02"),
+])
+def test_p2_times(spark, early, late):
+    rows = [(i, "h", 1, "x", 0.5, u, "t", f"d{i}", None, None, None, None, "own") for i, u in ((1, early), (2, late))]
+    got = p2.survivors(spark.createDataFrame(rows, PAPER), spark.createDataFrame([("x", 1)], "source string, trust_rank int")).collect()
+    assert [tuple(r) for r in got] == [(1, "doi", 2)]
+
+
+def test_p2_alignment_of_long_values(monkeypatch):
+    rng = random.Random(4)
+    a = [f"w{rng.randrange(400)}" for _ in range(300)]
+    b = [w for w in a if rng.random() > 0.1]
+    profile = lambda ws, w: [{t: w} for t in ws]
+    whole = p2.vote(p2.merge(profile(a, 2.0), profile(b, 1.0)))
+    assert whole == a
+    monkeypatch.setattr(p2, "CELLS", 500)  # by anchors
+    assert p2.vote(p2.merge(profile(a, 2.0), profile(b, 1.0))) == a
+    assert p2.vote(p2.merge(profile(["x"] * 60, 1.0), profile(["y"] * 50, 2.0)))[:50] == ["y"] * 50
+
+    def plain(x, y):
+        row = list(range(len(y) + 1))
+        for i, s in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, t in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (s != t))
+        return row[-1]
+
+    for _ in range(50):
+        x, y = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        assert p2.edits(x, y) == plain(x, y)
+
+
 def test_p2_consensus(spark, monkeypatch):
     monkeypatch.setattr(p2, "CHUNK", 4)  # several rounds of merging
     good = "on the regular kernels of compact operators"
@@ -47,8 +83,8 @@ def test_p2_consensus(spark, monkeypatch):
             w[rng.randrange(len(w))] = rng.choice(["odd", "wrong", "other", f"slip{i}"])
         rows.append((i, "h", 1, "x", 0.5, "", " ".join(w), None, None, None, None, None, "own"))
     d = spark.createDataFrame(rows, PAPER)
-    got = p2.consensus(d, spark.createDataFrame([("x", 1)], "source string, trust_rank int"), "title").collect()
-    assert [(r["group_id"], r["donor_id"], r["value"]) for r in got] == [(0, 0, good)]
+    got = p2.consensus(d, spark.createDataFrame([("x", 1)], "source string, trust_rank int"), ["title", "doi"]).collect()
+    assert [(r["group_id"], r["field"], r["donor_id"], r["value"]) for r in got] == [(0, "title", 0, good)]
     assert p2.vote(p2.merge([{"a": 2}, {"b": 2}], [{"a": 1}, {"c": 1}, {"b": 1}])) == ["a", "b"]
 
 
