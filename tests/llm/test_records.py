@@ -152,6 +152,17 @@ def test_p5_brute_force(spark, tables):
     assert all(groups[a] == groups[b] for a, b in got) and set(groups) == set(sets)
 
 
+def test_p5_words_of_many_classes_in_cells(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, "", " ".join([*base, *(f"x{rng.randrange(50)}" for _ in range(rng.randrange(2, 25)))])) for i in range(90)]  # one text's edits are all rows
+    sets = {i: set(t.split()) for i, _, t in rows}
+    truth = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and len(sets[a] & sets[b]) * 100 >= 65 * len(sets[a] | sets[b])}
+    for chunk in (4, 1000):
+        _, links = p5.alike(spark.createDataFrame(rows, "id long, title string, abstract string"), chunk=chunk)
+        assert {(r["class_a"], r["class_b"]) for r in links.collect()} == truth
+
+
 def test_p5_every_pair_at_the_threshold(spark, tables):
     rng = random.Random(11)
     usual, vocab = [f"u{i}" for i in range(30)], [f"w{i}" for i in range(3000)]
