@@ -1,14 +1,14 @@
 """Evaluation texts leaking into training text (problem 8).
 
 A document leaks an item if it holds ``least`` (13) consecutive words of it. Every window of
-``least`` words of an item must then stand in the document whole, thus with its rarest word: words
-are counted over all documents, each window is filed under its rarest word alone (the necessary
-prefix of length one), and only documents with that word are looked at. From each such meeting
-the run of equal words is extended both ways inside the item (position and length bounds), and it
-counts if it has ``least`` words: an exact check over windows no longer than the item.
-
-Items are taken in blocks of at most ``block_words`` words, so what is broadcast stays bounded
-however many items there are; each block is one pass over the documents.
+``least`` words of an item must then stand in the document whole, with all its shingles of
+``SHINGLE`` words. The shingles of all items are counted over all documents (one scan); of each
+window only the rarest shingle is looked up, the necessary prefix of its shingles in order of
+rarity. Shingles of documents that no item looks up are dropped at the scan by a bitmap of fixed
+size; the others are joined with the prefixes by equality, whatever the number of items. A document's shingle
+carries the words around it, no more than a window can reach (bounds of position and length), and
+a meeting counts if the run of equal words around the shingle has ``least`` words: an exact check
+over windows of the item, without a further scan.
 
 Defined cases: null and empty texts, and items with fewer than ``least`` words, match nothing;
 texts are read whole; rows with the same text each match; the ids of equal pairs appear once; an
@@ -17,100 +17,68 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut, table
 
-WORD = re.compile(r"[^\W_]+")
-JVM_WORD = r"[\p{L}\p{N}]+"
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-def prefix_index(items: list[tuple[int, list[str]]], counts: dict[str, int], least: int) -> dict[str, list[tuple[int, int]]]:
-    """For the rarest word of every window: the items and positions where it stands."""
-    index: dict[str, set[tuple[int, int]]] = defaultdict(set)
-    for k, (_, ws) in enumerate(items):
-        for i in range(len(ws) - least + 1):
-            at = min(range(i, i + least), key=lambda p: (counts.get(ws[p], 0), ws[p], p))
-            index[ws[at]].add((k, at))
-    return {w: sorted(v) for w, v in index.items()}
-
-
-def matches(ws: list[str], items: list[tuple[int, list[str]]], index: dict[str, list[tuple[int, int]]], least: int) -> list[int]:
-    """The ids of items of which ``ws`` holds ``least`` consecutive words."""
-    found: set[int] = set()
-    n = len(ws)
-    for p, w in enumerate(ws):
-        for k, q in index.get(w, ()):
-            key, item = items[k]
-            if key in found:
-                continue
-            before = after = 0
-            while before < min(p, q) and ws[p - before - 1] == item[q - before - 1]:
-                before += 1
-            most = min(n - p, len(item) - q)
-            if before + most < least:
-                continue
-            while after + 1 < most and ws[p + after + 1] == item[q + after + 1]:
-                after += 1
-            if before + after + 1 >= least:
-                found.add(key)
-    return sorted(found)
-
-
-def blocks_of(items: DataFrame, block_words: int) -> list[tuple[int, int]]:
-    """Ranges of item ids, each of at most about ``block_words`` words."""
-    sizes = items.groupBy("item_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
-    step = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("items"), F.max("n").alias("most")).first()
-    if not step["items"]:
-        return []
-    parts = max(1, -(-int(step["n"] or 0) // (4 * block_words)))
-    if parts == 1:
-        low, high = items.agg(F.min("item_id"), F.max("item_id")).first()
-        return [(low, high)]
-    edges = sorted(set(items.approxQuantile("item_id", [i / parts for i in range(parts + 1)], 0.0)))
-    return [(int(a) + (i > 0), int(b)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))] or [(int(edges[0]), int(edges[0]))]
-
-
-def finder(shared, least: int):
-    """A function from texts to the ids of the items they leak."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def hits(texts: pd.Series) -> pd.Series:
-        own, index = shared.value
-        return pd.Series([matches(words_of(t), own, index, least) for t in texts])
-
-    return hits
-
-
-def leaks(documents: DataFrame, items: DataFrame, least: int = 13, block_words: int = 500_000) -> DataFrame:
+WORD = r"[\p{L}\p{N}]+"
+SHINGLE = 5
+BITS = 24  # 2 ** BITS bits, 2 MB: the only thing that is broadcast
+
+
+def words(c: str) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
+
+
+def shingles(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with its array ``ws`` replaced by one row a shingle: its place ``at`` (from 0) and hash ``h``."""
+    each = F.transform(F.sequence(F.lit(0), F.size("ws") - size), lambda i: F.xxhash64(*(F.get("ws", i + k) for k in range(size))))
+    return df.where(F.size("ws") >= size).select("*", F.posexplode(each).alias("at", "h"))
+
+
+def marked(df: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``h`` may be in ``hashes``: by one bit of a bitmap of fixed size."""
+    bit = lambda: F.shiftrightunsigned("h", 64 - BITS)
+    place, mask = F.shiftrightunsigned(bit(), 6), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    # The upper bits choose one of 2 ** (BITS - 6) longs, the lower six of the hash a bit of it.
+    cells = hashes.select(F.shiftrightunsigned(bit(), 6).cast("int").alias("place"), mask.alias("mask")).groupBy("place").agg(F.bit_or("mask").alias("mask"))
+    every = df.sparkSession.range(2 ** (BITS - 6)).select(F.col("id").cast("int").alias("place"))
+    filled = every.join(cells.hint("merge"), "place", "left").select(F.struct("place", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")).alias("c"))
+    dense = filled.agg(F.array_sort(F.collect_list("c"))["mask"].alias("bits"))
+    bits = cut(dense).scalar()  # one value of fixed size
+    return df.where(F.element_at(bits, (place + 1).cast("int")).bitwiseAND(mask) != 0)
+
+
+def run_around(a: Column, i: Column, b: Column, j: Column, size: int) -> Column:
+    """Equal words of ``a`` and ``b`` around those at i and j (from 1), where ``size`` words are equal."""
+    back = F.least(i, j) - 1
+    on = F.least(F.size(a) - i, F.size(b) - j) - size + 1
+    differs = lambda k: F.get(a, i - 1 + k) != F.get(b, j - 1 + k)
+    before = F.aggregate(F.sequence(F.lit(0), back), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, k: F.when((k > 0) & s["on"] & ~differs(-k), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("on"))).when(k == 0, s).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("on"))))["n"]
+    after = F.aggregate(F.sequence(F.lit(0), on), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, k: F.when((k > 0) & s["on"] & ~differs(k + size - 1), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("on"))).when(k == 0, s).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("on"))))["n"]
+    return before + size + after
+
+
+def leaks(documents: DataFrame, items: DataFrame, least: int = 13) -> DataFrame:
     """Pairs (doc_id, item_id); ``documents`` has doc_id and text, ``items`` item_id and text."""
-    spark = documents.sparkSession
-    items = items.select("item_id", "text").where("item_id is not null and text is not null")
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JVM_WORD), 0)).alias("w")
-    vocabulary = items.select(word).distinct()
-    counts = cut(documents.select(word).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n")))
-    out = None
-    for low, high in blocks_of(items, block_words):
-        part = items.where(F.col("item_id").between(low, high))
-        own = [(r["item_id"], ws) for r in part.orderBy("item_id").collect() if len(ws := words_of(r["text"])) >= least]
-        here = part.select(word).distinct()
-        known = {r["w"]: r["n"] for r in counts.join(here, "w", "left_semi").collect()}
-        hits = finder(spark.sparkContext.broadcast((own, prefix_index(own, known, least))), least)
-        one = documents.select("doc_id", hits("text").alias("items")).where(F.size("items") > 0).select("doc_id", F.explode("items").alias("item_id"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return documents.select("doc_id", F.lit(None).cast("long").alias("item_id")).limit(0)
-    return out.distinct()
+    size, reach = min(SHINGLE, least), least - min(SHINGLE, least)
+    own = cut(items.where("item_id is not null and text is not null").select("item_id", words("text").alias("ws")).where(F.size("ws") >= least))
+    of_items = cut(shingles(own, size).select("item_id", "at", "h"))
+    docs = documents.where("text is not null").select("doc_id", words("text").alias("ws"))
+    # How often each shingle of an item stands in the documents: one scan, added up before the shuffle.
+    known = of_items.select("h").distinct()
+    found = marked(shingles(docs, size).select("h"), known).groupBy("h").agg(F.count("*").alias("n"))
+    counts = cut(known.join(found.hint("merge"), "h", "left").select("h", F.coalesce("n", F.lit(0)).alias("n")))
+    # Of every window of an item, the rarest shingle; windows with one that no document has match nothing.
+    places = of_items.join(counts.hint("merge"), "h").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "h"))).alias("s"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("s") - reach), lambda i: F.array_min(F.transform(F.slice("s", i, reach + 1), lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["at"].alias("at")))))
+    prefixes = places.select("item_id", F.explode(F.array_distinct(windows)).alias("p")).where("p.n > 0").select("item_id", F.col("p.h").alias("h"), F.col("p.at").alias("q"))
+    around = lambda at: F.transform(F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + size + reach, F.size("ws")) - 1), lambda i: F.get("ws", i))
+    prefixes = cut(prefixes.join(own.hint("merge"), "item_id").select("item_id", "h", around(F.col("q")).alias("item"), (F.least("q", F.lit(reach)) + 1).alias("j")))
+    hits = marked(shingles(docs, size), prefixes.select("h").distinct()).select("doc_id", "h", around(F.col("at")).alias("text"), (F.least("at", F.lit(reach)) + 1).alias("i"))
+    met = hits.join(prefixes.hint("merge"), "h").where(F.slice("text", F.col("i"), size) == F.slice("item", F.col("j"), size))
+    return met.where(run_around(F.col("text"), F.col("i"), F.col("item"), F.col("j"), size) >= least).select("doc_id", "item_id").distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +88,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each item leaked into; items that leaked nowhere have 0."""
     found = p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
-    return table(spark, sf_dir, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"))
+    return table(spark, sf_dir, "benchmark").select("item_id").join(found.hint("merge"), "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
+
+_PAIRS = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws from documents), i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') ws from benchmark),
+dw as (select distinct doc_id, array_to_string(ws[k:k + 12], ' ') w from d, unnest(range(1, len(ws) - 11)) t(k)), iw as (select distinct item_id, array_to_string(ws[k:k + 12], ' ') w from i, unnest(range(1, len(ws) - 11)) t(k)),
+found as (select distinct doc_id, item_id from dw join iw using (w))
+"""
+SQL = {"p8_found": _PAIRS + "select doc_id, item_id from found", "p8_items": _PAIRS + "select item_id, count(doc_id) as documents from benchmark left join found using (item_id) group by item_id"}

@@ -1,6 +1,7 @@
 """Problems 1, 4, 6, 8, 9, 10: against brute force, exact round trips and small cases."""
 
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -116,12 +117,12 @@ def tables_of_none(spark, d, at):
 def brute_leaks(docs, items, least):
     grams = {}
     for i, t in items:
-        w = p8.words_of(t)
+        w = re.findall(r"[^\W_]+", (t or "").lower())
         for k in range(len(w) - least + 1):
             grams.setdefault(tuple(w[k : k + least]), set()).add(i)
     out = set()
     for d, t in docs:
-        w = p8.words_of(t)
+        w = re.findall(r"[^\W_]+", (t or "").lower())
         for k in range(len(w) - least + 1):
             out |= {(d, i) for i in grams.get(tuple(w[k : k + least]), ())}
     return out
@@ -132,11 +133,29 @@ def test_p8_brute_force(spark):
     word = lambda: rng.choice("abcdef")
     items = [(i, " ".join(word() for _ in range(rng.randint(2, 14)))) for i in range(30)]
     docs = [(d, " ".join(word() for _ in range(60))) for d in range(80)] + [(d, items[d % 30][1].upper().replace(" ", " -- ")) for d in range(80, 120)] + [(120, None), (121, "")]
-    got = p8.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 5, block_words=20)
+    got = p8.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 5)
     assert {tuple(r) for r in got.collect()} == brute_leaks(docs, items, 5)
     assert p8.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"), 5).count() == 0
 
 
+def test_p8_one_scan_of_counts_and_one_of_hits(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(40))) for i in range(2000)] + [(1, None), (5000, ""), (None, "x " * 20)]
+    docs = []
+    for d in range(300):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(10, 200))]
+        own = items[rng.randrange(2000)][1].split()
+        a, n = rng.randrange(20), rng.choice([12, 13, 14, 20])
+        docs.append((d, " ".join([*w, *own[a : a + n], *w[:5]])))
+    docs += [(7, docs[7][1]), (400, "w1 " * 30_000)]
+    kind = "text string, item_id_extra string"
+    found = p8.leaks(spark.createDataFrame([(*x, "own") for x in docs], f"doc_id long, {kind}"), spark.createDataFrame([(*x, "own") for x in items], f"item_id long, {kind}"))
+    assert {tuple(r) for r in found.collect()} == brute_leaks(docs, [x for x in items if x[0] is not None], 13)
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
 @given(st.lists(st.tuples(st.floats(0.01, 1), st.integers(0, 1000), st.integers(1, 4)), min_size=1, max_size=8), st.floats(1, 5000))
 @settings(max_examples=200, deadline=None)
 def test_p9_water_fill(rows, total):
