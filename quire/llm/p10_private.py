@@ -1,7 +1,10 @@
 """Personal information inside free text (problem 10).
 
 Addresses of mail, phone numbers, identity numbers, street addresses and names are found by
-patterns (the more specific kinds first; what one kind takes, no other takes). Each distinct value
+patterns and checks (the more specific kinds first; what one kind takes, no other takes): account and
+card numbers by their check digits, names by given name or initial, and, whatever the script and
+whether the name is in any list, where a title, a salutation or a label stands before two words in
+capitals, or where the second of two Russian words ends like a family name. Each distinct value
 becomes a typed placeholder, numbered in its document, so the same value is the same placeholder.
 The surrogate form puts a keyed, format-preserving replacement in its place: given names become
 names of the same gender, other letters and digits become letters and digits of the same kind, case
@@ -16,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import os
 import re
+from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,11 +63,17 @@ EMAIL = re.compile(
     rf"|\b[\w][\w.+%-]*\sat\s[^\W_][\w-]*(?:\sdot\s[\w-]+)+",
     re.IGNORECASE,
 )
+AT_ALL = re.compile(r"[\[({]\s?[aA][tT]\s?[\])}]|\s[aA][tT]\s[^\W_][\w-]*\s[dD][oO][tT]\s")  # every mail address but those with the sign itself has one
+POSTCODE = r"(?:,?\s(?:\d{5}\b|[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b))?"
 ADDRESS = re.compile(
-    rf"(?:\b(?:Flat|Apt\.?|Apartment|Unit|Suite)\s\d+[A-Za-z]?,\s)?\b\d{{1,4}}[A-Za-z]?\s(?:{CAP}\s){{1,3}}(?:{STREET}),\s{TOWN}(?:,?\s\d{{5}}\b)?"
+    rf"(?:\b(?:Flat|Apt\.?|Apartment|Unit|Suite)\s\d+[A-Za-z]?,\s)?\b\d{{1,4}}[A-Za-z]?\s(?:{CAP}\s){{1,3}}(?:{STREET}),\s{TOWN}{POSTCODE}"
     rf"|\b\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|chemin|allée|quai|impasse)\s(?:(?:des|de|du|de\sla|d’|d'|la|le|les)\s?)*{CAP}(?:[\s-]{CAP})*,\s\d{{5}}\s{TOWN}"
-    rf"|\b(?:(?:Am|An\sder|Auf\sder|Im|Zum|Zur)\s{CAP}|{UP}{L}*(?:straße|strasse|weg|allee|gasse|platz|ring|damm|ufer|hof))\s\d{{1,4}}[a-z]?,\s\d{{5}}\s{TOWN}"
 )
+# These begin with a word, so they are looked for only where their numbers stand.
+BEHIND = re.compile(rf"\b(?:(?:Am|An\sder|Auf\sder|Im|Zum|Zur)\s{CAP}|{UP}{L}*(?:straße|strasse|weg|allee|gasse|platz|ring|damm|ufer|hof))\s\d{{1,4}}[a-z]?,\s\d{{5}}\s{TOWN}")
+BEHIND_ALL = re.compile(r"\s\d{1,4}[a-z]?,\s\d{5}\s")
+ACCOUNT = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)")
+CARD = re.compile(r"(?<![\w.+-])[2-6](?:[ -]?\d){12,18}(?![\w-])")
 ID = re.compile(
     r"(?<![\w.+-])(?:[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D](?!\w)|[A-Z]\d{7}(?!\w)|\d{9}(?![\w-])|\d{6}[-+]\d{4}(?!\w)|\d{3}\.\d{3}\.\d{3}-\d{2}(?!\w)|\d{3}-\d{2}-\d{4}(?!\w))"
 )
@@ -72,15 +83,79 @@ PHONE = re.compile(
     r"|\(\d{3,5}\)\s?\d{3,4}[ .-]?\d{3,4}|\d{3}[-.\s]\d{3}[-.\s]\d{4}|0\d{2,4}[\s/-]\d{5,8}|\d{3}-\d{4}"
     r")(?:\s*(?:ext\.?|extension|x|Durchwahl|Dw\.|poste)\s*\d{1,5})?(?![\w-])"
 )
-GIVEN = "|".join(sorted(map(re.escape, {*FEMALE, *MALE}), key=len, reverse=True))
+GIVEN = {*FEMALE, *MALE}
 INITIAL = rf"{UP}\.(?:\s?-?\s?{UP}\.)*"
+ONE = rf"{UP}{L}+(?:-{UP}{L}+)?"
 NAME = re.compile(
-    rf"(?<![\w.’'-])(?:(?:{GIVEN})(?:\s{INITIAL})?\s{PARTICLE}(?P<a>{UP}{L}+(?:-{UP}{L}+)?)|{INITIAL}\s?{PARTICLE}(?P<b>{UP}{L}+(?:-{UP}{L}+)?)"
-    rf"|{PARTICLE}(?P<c>{UP}{L}+(?:-{UP}{L}+)?),\s(?:(?:{GIVEN})(?:\s{INITIAL})?(?!{L})|{INITIAL}(?!\s?{UP}{L})))"
+    rf"(?<![\w.’'-])(?:(?P<g>{ONE})(?:\s{INITIAL})?\s{PARTICLE}(?P<a>{ONE})|{INITIAL}\s?{PARTICLE}(?P<b>{ONE})"
+    rf"|{PARTICLE}(?P<c>{ONE}),\s(?:(?P<h>{ONE})(?:\s{INITIAL})?(?!{L})|{INITIAL}(?!\s?{UP}{L})))"
 )
+# What stands before a name.
+CUE = re.compile(
+    r"(?:\b(?:Dr|Prof|Professor|Mr|Mrs|Ms|Sir|Herr|Frau|Mme|Monsieur|Madame|Dear|Liebe|Lieber|Cher|Chère|Sehr\sgeehrter\sHerr|Sehr\sgeehrte\sFrau|г-н|г-жа|проф)\b\.?\s+"
+    r"|\b(?:[Nn]ame|[Cc]ontact|[Cc]ontact\sperson|[Ss]igned|[Aa]pplicant|[Pp]atient|[Cc]lient|[Ee]mployee|[Kk]ontakt|[Uu]nterzeichnet|[Nn]om|[Ss]igné|имя)\s?:\s*)"
+    r"(?=[^\W\d_])"
+)
+CALLED = re.compile(rf"(?P<g>[^\W\d_]+(?:[-’'][^\W\d_]+)*)(?:\s{INITIAL})?\s{PARTICLE}(?P<a>[^\W\d_]+(?:[-’'][^\W\d_]+)*)")
+RUSSIAN = re.compile(r"(?<![\w-])[А-ЯЁ][а-яё]+\s(?:[А-ЯЁ][а-яё]+(?:ович|евич|овна|евна)\s)?[А-ЯЁ][а-яё]+(?:ов|ев|ёв|ин|ын|ова|ева|ёва|ина|ына|ский|ская|цкий|цкая|енко)(?!\w)")
 # Terms of the trade are named after people; they are no persons here.
 TERM = re.compile(r"^(?:[’']s)?\s(?:inequality|theorem|lemma|condition|conjecture|equation|formula|transform|operator|measure|space|algebra|estimate|kernel|functional|bound)s?\b")
-PATTERNS = {"email": EMAIL, "address": ADDRESS, "id_number": ID, "phone": PHONE, "name": NAME}
+
+
+def account(value: str) -> bool:
+    """An international account number: 1 by the remainder of 97."""
+    v = re.sub(r"\s", "", value)
+    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def card(value: str) -> bool:
+    """A card number: its doubled digits add up to tens."""
+    d = [int(c) for c in value if c.isdigit()]
+    return len(set(d)) > 1 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def names(text: str):
+    """Spans of names."""
+    at = 0
+    while m := NAME.search(text, at):
+        a, b = m.span()
+        given = m["g"] or m["h"]
+        if given and given not in GIVEN:
+            at = a + re.match(r"\S+?(?=[\s,])", text[a:]).end()
+            continue
+        family = m["a"] or m["b"] or m["c"]
+        at = b
+        if family.capitalize() in OPENERS or (m["b"] and family.isupper()) or (text[max(0, a - 4) : a].lower().endswith("the ") and TERM.match(text[b : b + 40])):
+            continue
+        yield a, b
+    for cue in CUE.finditer(text):
+        m = CALLED.match(text, cue.end())
+        if m and all(m[k][0].isupper() and not m[k].isupper() and m[k] not in OPENERS for k in "ga") and m["g"] not in TITLES and not TERM.match(text[m.end() : m.end() + 40]):
+            yield m.span()
+    if any("А" <= c <= "я" for c in text):
+        yield from (m.span() for m in RUSSIAN.finditer(text))
+
+
+# Titles that may follow one another.
+TITLES = {"Dr", "Prof", "Professor", "Mr", "Mrs", "Ms", "Sir", "Herr", "Frau", "Mme", "Monsieur", "Madame", "Sirs", "All", "Colleagues", "Colleague", "Madam"}
+
+
+def spans(kind: str, text: str):
+    if kind == "email":
+        if "@" in text or AT_ALL.search(text):
+            yield from (m.span() for m in EMAIL.finditer(text))
+    elif kind == "address":
+        yield from (m.span() for m in ADDRESS.finditer(text))
+        if BEHIND_ALL.search(text):
+            yield from (m.span() for m in BEHIND.finditer(text))
+    elif kind == "id_number":
+        yield from (m.span() for m in ACCOUNT.finditer(text) if account(m[0]))
+        yield from (m.span() for m in CARD.finditer(text) if card(m[0]))
+        yield from (m.span() for m in ID.finditer(text))
+    elif kind == "phone":
+        yield from (m.span() for m in PHONE.finditer(text))
+    else:
+        yield from names(text)
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -88,17 +163,15 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     taken: list[tuple[str, int, int]] = []
+    begins: list[int] = []
     for kind in KINDS:
-        for m in PATTERNS[kind].finditer(text):
-            a, b = m.span()
-            if kind == "name":
-                family = m["a"] or m["b"] or m["c"]
-                if family.capitalize() in OPENERS or (m["b"] and family.isupper()) or (text[max(0, a - 4) : a].lower().endswith("the ") and TERM.match(text[b : b + 40])):
-                    continue
-            if any(x < b and a < y for _, x, y in taken):
+        for a, b in spans(kind, text):
+            k = bisect_left(begins, b)
+            if k and taken[k - 1][2] > a:  # the last that begins before its end
                 continue
-            taken.append((kind, a, b))
-    return sorted(taken, key=lambda x: x[1])
+            begins.insert(k, a)
+            taken.insert(k, (kind, a, b))
+    return taken
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("pii_value", T.StringType()), T.StructField("at", T.IntegerType())]))
@@ -138,6 +211,8 @@ def stream(key: bytes, *what: str):
 
 
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnprstvwz"
+LONGER = 5  # turns after which a surrogate is longer by one character
+KEY = os.environ.get("QUIRE_SURROGATE_KEY", "quire")  # set your own: who knows the key can repeat the replacements
 
 
 def disguise(kind: str, word: str, key: bytes, turn: int) -> str:
@@ -157,6 +232,10 @@ def disguise(kind: str, word: str, key: bytes, turn: int) -> str:
             out.append(new.upper() if ch.isupper() else new)
         else:
             out.append(ch)
+    # What still collides after some turns grows by a letter or digit, so there is room for all.
+    for _ in range(turn // LONGER if out else 0):
+        k = next(draw)
+        out.append(str(k % 10) if out[-1].isdigit() else (VOWELS + CONSONANTS)[k % 23])
     return "".join(out)
 
 
@@ -168,11 +247,11 @@ def surrogate(kind: str, value: str, key: bytes, turn: int) -> str:
         for p in parts:
             pool = FEMALE if p in FEMALE else MALE if p in MALE else None
             if pool:  # same gender, and a first letter that an initial would get too
-                first = disguise("initial", p[0], key, 0).upper()
+                first = disguise("initial", p[0], key, turn)[:1].upper()
                 own = [x for x in pool if x[0] == first] or pool
-                out.append(own[next(stream(key, "given", p)) % len(own)])
+                out.append(own[next(stream(key, "given", p, str(turn))) % len(own)])
             elif re.fullmatch(rf"(?:-?{UP}\.)+", p):
-                out.append("".join(disguise("initial", c, key, 0) if c.isalpha() else c for c in p))
+                out.append("".join(disguise("initial", c, key, turn) if c.isalpha() else c for c in p))
             elif p[:1].isupper():
                 out.append(disguise("family", p, key, turn))
             else:
@@ -197,8 +276,8 @@ def pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return one.select(key, "f.pii_type", "f.pii_value").distinct()
 
 
-def surrogates(found: DataFrame, key: str = "quire", most_turns: int = 20) -> DataFrame:
-    """A distinct surrogate for each distinct value; those that collide are drawn again."""
+def surrogates(found: DataFrame, key: str = KEY, most_turns: int = 60) -> DataFrame:
+    """A distinct surrogate for each distinct value; those that collide are drawn again, and none is returned twice."""
     secret = key.encode()
 
     @F.pandas_udf(T.StringType())
@@ -208,12 +287,36 @@ def surrogates(found: DataFrame, key: str = "quire", most_turns: int = 20) -> Da
     values = found.select("pii_type", "pii_value").distinct().withColumn("turn", F.lit(0))
     for turn in range(most_turns):
         values = cut(values.select("pii_type", "pii_value", "turn", made("pii_type", "pii_value", "turn").alias("surrogate")))
-        w = Window.partitionBy("pii_type", "surrogate").orderBy("pii_value")
-        values = values.withColumn("again", F.row_number().over(w) > 1)
+        first = values.groupBy("pii_type", "surrogate").agg(F.min(F.struct("turn", "pii_value"))["pii_value"].alias("keeps"))
+        values = values.join(first.hint("merge"), ["pii_type", "surrogate"]).withColumn("again", F.col("keeps") != F.col("pii_value")).drop("keeps")
         if values.where("again").isEmpty():
-            break
+            return values.select("pii_type", "pii_value", "surrogate")
         values = values.withColumn("turn", F.when(F.col("again"), F.lit(turn + 1)).otherwise(F.col("turn")))
-    return values.select("pii_type", "pii_value", "surrogate")
+    raise ValueError(f"surrogates still collide after {most_turns} turns")
+
+
+@F.pandas_udf(T.StringType())
+def spliced(texts: pd.Series, parts: pd.Series) -> pd.Series:
+    """Texts with the given parts (at, value, surrogate) replaced."""
+    out = []
+    for text, ps in zip(texts, parts, strict=True):
+        if ps is not None and text is not None:
+            done, at = [], 0
+            for p in sorted(ps, key=lambda p: p["at"]):
+                done += [text[at : p["at"]], p["surrogate"]]
+                at = p["at"] + len(p["pii_value"])
+            text = "".join([*done, text[at:]])
+        out.append(text)
+    return pd.Series(out, dtype=object)
+
+
+def pseudonymised(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
+    """``df`` with every finding in ``text`` replaced by its surrogate; the same value is the same surrogate in all texts."""
+    rows = cut(df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("t")).where("t is not null").select("row", "t", findings("t").alias("f")).where(F.size("f") > 0).distinct())
+    each = rows.select("row", F.explode("f").alias("f")).select("row", "f.*")
+    made = each.join(surrogates(each, secret).hint("merge"), ["pii_type", "pii_value"])
+    parts = made.groupBy("row").agg(F.collect_list(F.struct("at", "pii_value", "surrogate")).alias("parts"))  # of one text
+    return df.withColumn("row_", F.xxhash64(key, text)).join(parts.withColumnRenamed("row", "row_").hint("merge"), "row_", "left").withColumn(text, spliced(F.col(text), F.col("parts"))).drop("row_", "parts")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,4 +331,8 @@ def p10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates(p10_found(spark, sf_dir))
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p10_surrogates": p10_surrogates}
+def p10_pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"p10_pseudonymised": p10_pseudonymised, "p10_found": p10_found, "p10_redacted": p10_redacted, "p10_surrogates": p10_surrogates}
