@@ -1,6 +1,7 @@
 """Text cut off by field limits (problem 4).
 
-Lengths: per field and source a histogram of lengths is made; lengths that hold many more values
+Lengths: per field and source a histogram of the lengths of different texts is made (copies count
+once, so neither a short text in frequent use nor a table given twice makes a limit); lengths that hold many more values
 than their surroundings are candidate limits; a log-normal length distribution, right-censored at
 those limits, is fitted by maximum likelihood (EM); it gives the probability that a value of that
 length was longer (the censoring posterior). Away from limits a value has its source's share of
@@ -36,7 +37,7 @@ STOPPED = r"[.!?][\"')\]]*$"
 MID_WORD = 0.65  # share of cuts that fall inside a word
 SENTENCE, EDGE = re.compile(r"[.!?]\s+"), re.compile(r"[.,;:!?()\[\]\"']+(?=\s|$)|(?<=\s)[(\[\"']+")
 FRAME_WORD = 1000  # a word is part of a frame if it is at least one of so many; thus there are at most so many
-FRAME_SHARE = 0.004  # usual share of one frame among cut values
+SAME_CUT = 0.01  # chance that another source cuts a text at the same place
 NO_STOP = 0.03  # share of complete sentences that lack their stop
 
 
@@ -139,7 +140,8 @@ def plain_word(c: Column) -> Column:
 def cut_values(df: DataFrame, fields: list[str], key: str = "id", source: str = "source") -> DataFrame:
     """Every filled value of ``fields`` with ``source``, ``limit_posterior``, ``odds`` and ``is_cut``."""
     rows = cut(endings(df, fields, key, source))
-    histogram = rows.where(~F.col("stopped") | (F.col("field") == "title")).groupBy("field", "source", "n").agg(F.count("*").alias("rows"))
+    texts = rows.where(~F.col("stopped") | (F.col("field") == "title")).select("field", "source", "n", F.xxhash64("bare").alias("text")).distinct()
+    histogram = texts.groupBy("field", "source", "n").agg(F.count("*").alias("rows"))
     limits = cut(histogram.groupBy("field", "source").applyInPandas(_limits, "field string, source string, n long, posterior double, log_mean double, log_dev double"))
 
     low = F.split(F.lower("bare"), r"\s+")
@@ -150,7 +152,8 @@ def cut_values(df: DataFrame, fields: list[str], key: str = "id", source: str =
     rows = rows.withColumn("ws", low).withColumn("last", plain_word(F.element_at("ws", -1)))
 
     # How each word is used: at an end, or elsewhere. Values at a limit don't count as ends.
-    used = rows.select("field", F.posexplode("ws").alias("at", "w"), F.size("ws").alias("size"), ((F.col("posterior").isNull()) & ~F.col("marked") & ~F.col("broken")).alias("sure"))
+    once = rows.withColumn("sure", F.col("posterior").isNull() & ~F.col("marked") & ~F.col("broken")).groupBy("field", F.xxhash64("ws").alias("text")).agg(F.first("ws").alias("ws"), F.max("sure").alias("sure"))
+    used = once.select("field", F.posexplode("ws").alias("at", "w"), F.size("ws").alias("size"), "sure")
     final = F.col("at") == F.col("size") - 1
     ends = F.col("w").rlike(STOPPED) | (final & F.col("sure") & (F.col("field") == "title"))
     words = used.groupBy("field", plain_word(F.col("w")).alias("w")).agg(F.count_if(ends).alias("ends"), F.count_if(~final & ~ends).alias("inside")).where("ends + inside > 0")
@@ -163,25 +166,33 @@ def cut_values(df: DataFrame, fields: list[str], key: str = "id", source: str =
     lasts = lasts.join(begun, "w", "left").select(F.col("w").alias("last"), "begins")
     tokens = words.agg(F.sum(F.col("ends") + F.col("inside"))).first()[0] or 0
     common = {r["w"] for r in words.groupBy("w").agg(F.sum(F.col("ends") + F.col("inside")).alias("seen")).where(F.col("seen") * FRAME_WORD > tokens).collect()}
-    rows = cut(rows.withColumn("frame", frames(common)("bare", "field")).drop("ws", "bare"))
+    rows = cut(rows.withColumn("frame", frames(common)("bare", "field")).withColumn("text", F.xxhash64("ws")).drop("ws", "bare"))
     whole = F.when(F.col("field") == "title", F.col("posterior").isNull()).otherwise(F.col("stopped"))
-    seen = rows.groupBy("field", "frame").agg(F.count_if(whole).alias("frame_ends"))
-    all_frames = seen.groupBy("field").agg(F.sum("frame_ends").alias("all_frames"))
+    of_text = cut(rows.groupBy("field", "text").agg(F.max(whole).alias("whole"), F.first("frame").alias("frame"), F.count_distinct("source").alias("sources")))
+    seen = of_text.where("whole").groupBy("field", "frame").agg(F.count("*").alias("frame_ends"))
+    # A value cut between words leaves the beginning of a whole frame, as often as whole frames begin so.
+    fs = F.split("frame", " ")
+    begun_frames = seen.where(F.size(fs) > 1).select("field", "frame_ends", F.explode(F.transform(F.sequence(F.lit(1), F.size(fs) - 1), lambda i: F.array_join(F.slice(fs, 1, i), " "))).alias("frame"))
+    begun_frames = begun_frames.groupBy("field", "frame").agg(F.sum("frame_ends").alias("frame_begins"))
+    seen = cut(seen.join(begun_frames.hint("merge"), ["field", "frame"], "full").fillna(0, ["frame_ends", "frame_begins"]))
+    all_frames = seen.groupBy("field").agg(F.sum("frame_ends").alias("all_frames"), F.sum("frame_begins").alias("all_begins"))
     rows = (
-        rows.join(seen, ["field", "frame"], "left").join(F.broadcast(all_frames), "field", "left").join(words.withColumnRenamed("w", "last"), ["field", "last"], "left")
-        .join(F.broadcast(total), "field").join(lasts, "last", "left")
-        .fillna(0, ["ends", "inside", "begins"])
+        rows.join(seen.hint("merge"), ["field", "frame"], "left").join(F.broadcast(all_frames), "field", "left").join(words.withColumnRenamed("w", "last").hint("merge"), ["field", "last"], "left")
+        .join(F.broadcast(total), "field").join(lasts.hint("merge"), "last", "left").join(of_text.select("field", "text", "sources").hint("merge"), ["field", "text"])
+        .fillna(0, ["ends", "inside", "begins", "frame_ends", "frame_begins"])
     )
     uses = F.col("ends") + F.col("inside")
     fragment = F.col("begins") > 100 * (uses + 1)  # a beginning, hardly ever seen as a word
     unseen = (uses <= 1) | fragment
     boundary = (1 - MID_WORD) * ((F.col("inside") + 0.2) / (F.col("all_inside") + 1)) / ((F.col("ends") + 0.2) / (F.col("all_ends") + 1))
+    usual = F.col("all_begins") / F.greatest("all_frames", F.lit(1))
+    by_frame = ((F.col("frame_begins") + 0.2 * usual) / (F.col("all_begins") + 1)) / ((F.col("frame_ends") + 0.2) / (F.col("all_frames") + 1))
     ratio = (
         F.when(F.col("marked") | F.col("broken"), F.lit(1e6))
         .when(unseen & (F.col("begins") > 0), F.lit(MID_WORD / 0.002))
         .when(unseen, F.lit(2.0))
         .when(F.col("last").contains("$"), F.lit(0.01))  # a formula that is closed
-        .otherwise(F.least(boundary * F.least(FRAME_SHARE / ((F.col("frame_ends") + 0.2) / (F.col("all_frames") + 1)), F.lit(20.0)), F.lit(1e4)))
+        .otherwise(F.least(boundary * F.least(by_frame, F.lit(20.0)), F.lit(1e4)))
     )
     ratio = F.when(F.col("stopped") & ~F.col("marked"), F.lit(1e-4)).when(F.col("field") != "title", ratio * ((1 - NO_STOP) / NO_STOP)).otherwise(ratio)
     # Share of values that a source cuts at any length, from the endings that leave no doubt.
@@ -189,7 +200,9 @@ def cut_values(df: DataFrame, fields: list[str], key: str = "id", source: str =
     rows = rows.withColumn("ratio", ratio)
     rows = rows.join(F.broadcast(base), (rows["field"] == base["field"]) & F.col("s").eqNullSafe(F.col("source")), "left").drop(base["field"])
     prior = F.least(F.greatest(F.coalesce("posterior", F.lit(0.0)), F.coalesce("base", F.lit(1e-3)), F.lit(1e-4)), F.lit(0.999))
-    odds = F.col("ratio") * prior / (1 - prior)
+    # Sources that cut each for itself away from a limit hardly leave the same text.
+    alike = F.when(F.col("posterior").isNull() & ~F.col("marked"), F.pow(F.lit(SAME_CUT), F.col("sources") - 1)).otherwise(1.0)
+    odds = F.col("ratio") * alike * prior / (1 - prior)
     return rows.select("id", "field", "source", "n", F.coalesce("posterior", F.lit(0.0)).alias("limit_posterior"), odds.alias("odds"), (odds > 1).alias("is_cut"))
 
 

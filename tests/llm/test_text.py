@@ -250,3 +250,16 @@ def test_p10_surrogates_change_with_the_turn_and_stand_in_the_text(spark):
     new = out[2][4:-1]
     assert "Lund" not in out[1] and "Stein" not in out[1] and out[1].count(new) == 2 and out[3] is None and out[4] == "" and out[5] == "plain"
     assert p10.pseudonymised(d.limit(0)).count() == 0
+
+
+def test_p4_copies_do_not_decide(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["regular", "compact", "ergodic", "smooth", "harmonic", "unitary", "graded"])
+    noun = lambda: rng.choice(["operators", "lattices", "kernels", "bundles", "measures", "flows"])
+    rows = [(i, f"s{i % 3}", f"On the {word()} {noun()} of {word()} and {word()} {noun()}") for i in range(600)]
+    rows = [(i, s, t[:40] if i % 4 == 0 and s == "s1" else t) for i, s, t in rows] + [(1000 + i, f"s{i % 3}", "Book review") for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, source string, title string")
+    once = {r["id"] for r in p4.cut_values(d, ["title"]).where("is_cut").collect()}
+    assert once and not any(i >= 1000 for i in once)
+    twice = {r["id"] for r in p4.cut_values(d.unionByName(d.withColumn("id", F.col("id") + 10_000)), ["title"]).where("is_cut").collect()}
+    assert twice == once | {i + 10_000 for i in once}
