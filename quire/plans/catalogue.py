@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["dedup_plans", "relational_plans", "text_plans", "stats_plans", "stream_plans", "more_plans", "filename_plans", "score_plans"]
+MODULES = ["dedup_plans", "relational_plans", "text_plans", "stats_plans", "stream_plans", "more_plans", "filename_plans", "score_plans", "check_plans"]
 
 
 def queries() -> dict:
