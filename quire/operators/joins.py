@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
+from ..session import cut
+
+
+DICTIONARY = 100_000  # names that are held against every mention
 
 
 def blocked_pairs(df: DataFrame, key: str, block: str, text: str, least: float) -> DataFrame:
@@ -17,8 +21,10 @@ def blocked_pairs(df: DataFrame, key: str, block: str, text: str, least: float)
     one = df.where(F.col(block).isNotNull() & (F.length(text) > 0)).groupBy(block, text).agg(F.min(key).alias(key))
     a, b = (one.select(block, F.col(key).alias(f"id_{s}"), F.col(text).alias(f"t_{s}")) for s in "ab")
     long, short = F.greatest(F.length("t_a"), F.length("t_b")), F.least(F.length("t_a"), F.length("t_b"))
-    far, room = F.levenshtein("t_a", "t_b"), round(1 - least, 6)
-    pairs = a.join(b, block).where((F.col("id_a") < F.col("id_b")) & (short >= 0.6 * long) & (long - short <= room * long)).where(far <= room * long)
+    room = round(1 - least, 6)
+    far = F.expr(f"levenshtein(t_a, t_b, cast(floor({room} * greatest(length(t_a), length(t_b))) as int))")  # -1 beyond
+    pairs = a.join(b, block).where((F.col("id_a") < F.col("id_b")) & (short >= 0.6 * long) & (long - short <= room * long)).withColumn("far", far).where("far >= 0")
+    far = F.col("far")
     return pairs.select("id_a", "id_b", F.round(1 - far / long, 4).alias("similarity"))
 
 
@@ -32,8 +38,10 @@ def agreeing_peers(df: DataFrame, group: str, key: str, text: str, least: float)
 
 
 def nearest(mentions: DataFrame, mention: str, names: DataFrame, name: str, k: int) -> DataFrame:
-    """The ``k`` nearest names of a small dictionary for each distinct mention."""
-    a = mentions.crossJoin(F.broadcast(names))  # the dictionary is a dimension of fixed size
+    """The ``k`` nearest names of a small dictionary (at most ``DICTIONARY`` names) for each distinct mention."""
+    if names.count() > DICTIONARY:
+        raise ValueError(f"a dictionary of more than {DICTIONARY} names; look words up by one_edit instead")
+    a = mentions.crossJoin(F.broadcast(names))
     s = F.round(1 - F.levenshtein(F.lower(mention), F.lower(name)) / F.greatest(F.length(mention), F.length(name)), 4)
     w = Window.partitionBy(mention).orderBy(F.desc("similarity"), name)
     return a.select(mention, name, s.alias("similarity")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
@@ -58,17 +66,51 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFra
     return j.select(key, *cols, F.when(F.col("in_old").isNull(), "insert").when(F.col("in_new").isNull(), "keep").otherwise("update").alias("action"))
 
 
+def places(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``rn``, its place (from 0) in the order of all rows: ranges are sorted apart, only their sizes meet."""
+    r = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = {x["p"]: x["n"] for x in r.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before, offsets = 0, []
+    for p in sorted(sizes):
+        offsets += [F.lit(p), F.lit(before)]
+        before += sizes[p]
+    start = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    return r.withColumn("rn", (start + F.col("_m").bitwiseAND(F.lit(2**33 - 1))).cast("long")).drop("_m")
+
+
 def band_pairs(df: DataFrame, key: str, group: str, text: str, width: int, least: float) -> DataFrame:
-    """Pairs at most ``width`` places apart in their group's order whose texts differ, with edit ratio ``least``.
+    """Pairs at most ``width`` places apart in their group's order whose texts differ, with edit ratio ``least``; whole texts.
 
-    A range join made an equi-join: each row stands in the bucket of its place and in the one before.
+    A range join made an equi-join: each row stands in the bucket of its place and in the one before, so a group of any
+    size is spread over its buckets. Lengths, then counts of characters bound the distance before it is taken.
     """
-    r = df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(key)))
+    letters = "abcdefghijklmnopqrstuvwxyz 0123456789"
+    low = F.lower(F.col(text))
+    bag = F.transform(F.array(*map(F.lit, letters)), lambda c: F.length(low) - F.length(F.replace(low, c, F.lit(""))))
+    r = places(df.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(group, key, text, bag.alias("bag")), group, key)
     bucket = F.floor(F.col("rn") / width)
-    a = r.select(group, F.col(key).alias("doc_a"), F.col("rn").alias("ra"), F.col(text).alias("ta"), bucket.alias("bucket"))
-    b = r.select(group, F.col(key).alias("doc_b"), F.col("rn").alias("rb"), F.col(text).alias("tb"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
-    pairs = a.join(b, [group, "bucket"]).where((F.col("rb") > F.col("ra")) & (F.col("rb") <= F.col("ra") + width) & (F.col("ta") != F.col("tb")))
-    return pairs.where(F.levenshtein("ta", "tb") <= round(1 - least, 6) * F.greatest(F.length("ta"), F.length("tb"))).select("doc_a", "doc_b")
+    a, b = (r.select(group, F.col(key).alias(f"doc_{s}"), F.col("rn").alias(f"r{s}"), F.col(text).alias(f"t{s}"), F.col("bag").alias(f"g{s}"), (bucket if s == "a" else F.explode(F.array(bucket, bucket - 1))).alias("bucket")) for s in "ab")
+    pairs = a.join(b.hint("merge"), [group, "bucket"]).where((F.col("rb") > F.col("ra")) & (F.col("rb") <= F.col("ra") + width) & (F.col("ta") != F.col("tb")))
+    long = F.greatest(F.length("ta"), F.length("tb"))
+    room = F.floor(round(1 - least, 6) * long).cast("int")
+    # An edit changes the surplus of either side by one at most.
+    surplus = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda s, v: s + v)
+    pairs = pairs.where(F.abs(F.length("ta") - F.length("tb")) <= room).where((surplus("ga", "gb") <= room) & (surplus("gb", "ga") <= room))
+    far = F.levenshtein("ta", "tb") if least <= 0 else F.expr(f"levenshtein(ta, tb, cast(floor({round(1 - least, 6)} * greatest(length(ta), length(tb))) as int))")
+    return pairs.where((far >= 0) & (far <= room)).select("doc_a", "doc_b")
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """word, n: how many texts have each word."""
+    return df.select(F.explode(F.array_distinct(F.split(text, " "))).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def rare_words(df: DataFrame, key: str, text: str, total: DataFrame, n: int = 3) -> DataFrame:
+    """key, word: the ``n`` words of each text that are rarest in ``total`` (word, n); of equals the smaller ones."""
+    each = df.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("word")).where("word <> ''").join(total.hint("merge"), "word")
+    first = each.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, n).alias("ws"))  # the words of one title
+    return first.select(key, F.explode("ws.word").alias("word"))
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
+from ..operators import joins
 from ..session import table
 from .registry import Plans
 
@@ -20,25 +21,41 @@ def papers(s: SparkSession, d: str) -> DataFrame:
 FORM = r"trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@plan(rf"""with p as (select id, file_size, paper_type = 'published' pub, {FORM} t from papers where title is not null), k as (select t, pub, min(id) id, max(file_size) size from p where length(t) > 10 group by all)
-  select a.id published_id, b.id preprint_id, b.size > 1.2 * a.size as preprint_larger from k a join k b on left(a.t, 20) = left(b.t, 20) and a.pub and not b.pub where levenshtein(a.t, b.t) <= 0.1 * greatest(length(a.t), length(b.t))""")
+RARE = """w as (select distinct t, unnest(string_split(t, ' ')) w from u), c as (select w, count(*) n from w where w <> '' group by w), k as (select t, w from w join c using (w) qualify row_number() over (partition by t order by n, w) <= 3)"""
+
+
+@plan(rf"""with p as (select id, file_size, paper_type = 'published' pub, {FORM} t from papers where title is not null), q as (select t, pub, min(id) id, max(file_size) size from p where length(t) > 10 group by all), u as (select distinct t from q), {RARE},
+  m as (select distinct x.t a, y.t b from k x join k y using (w)) select a.id published_id, b.id preprint_id, b.size > 1.2 * a.size as preprint_larger from m join q a on a.t = m.a and a.pub join q b on b.t = m.b and not b.pub where levenshtein(a.t, b.t) <= floor(0.1 * greatest(length(a.t), length(b.t)))""")
 def j05_preprints(s: SparkSession, d: str) -> DataFrame:
-    """Published titles and unpublished ones nearly the same, blocked by their beginning."""
+    """Published titles and unpublished ones nearly the same; those meet that have one of their three rarest words in common."""
     k = papers(s, d).where("title is not null").select("id", "file_size", (F.col("paper_type") == "published").alias("pub"), tx.ascii_form("title").alias("t")).where("length(t) > 10")
-    k = k.groupBy("t", "pub").agg(F.min("id").alias("id"), F.max("file_size").alias("size")).withColumn("block", F.substring("t", 1, 20))
-    a, b = (k.where(F.col("pub") == v).select("block", F.col("t").alias(f"t{n}"), F.col("id").alias(n), F.col("size").alias(f"s{n}")) for n, v in (("published_id", True), ("preprint_id", False)))
-    far = F.levenshtein("tpublished_id", "tpreprint_id")
-    near = a.join(b, "block").where(far <= 0.1 * F.greatest(F.length("tpublished_id"), F.length("tpreprint_id")))
-    return near.select("published_id", "preprint_id", (F.col("spreprint_id") > 1.2 * F.col("spublished_id")).alias("preprint_larger"))
+    k = k.groupBy("t", "pub").agg(F.min("id").alias("id"), F.max("file_size").alias("size"))
+    a, b = (k.where(F.col("pub") == v).select(F.col("t").alias(f"t{n}"), F.col("id").alias(f"{n}_id"), F.col("size").alias(f"s{n}")) for n, v in (("a", True), ("b", False)))
+    words = joins.rare_words(k.select("t").distinct(), "t", "t", joins.word_counts(k.select("t").distinct(), "t"))
+    met = a.join(words.toDF("ta", "word").hint("merge"), "ta").join(b.join(words.toDF("tb", "word").hint("merge"), "tb").hint("merge"), "word")
+    near = met.where(F.abs(F.length("ta") - F.length("tb")) <= F.floor(0.1 * F.greatest(F.length("ta"), F.length("tb")))).drop("word").distinct()
+    near = near.where(F.levenshtein("ta", "tb") <= F.floor(0.1 * F.greatest(F.length("ta"), F.length("tb"))))
+    return near.select(F.col("a_id").alias("published_id"), F.col("b_id").alias("preprint_id"), (F.col("sb") > 1.2 * F.col("sa")).alias("preprint_larger"))
+
+
+FAMILIES = "list_distinct(list_transform({}, lambda x: lower(case when contains(x, ',') then trim(split_part(x, ',', 1)) else regexp_extract(trim(x), '(\\S+)$', 1) end)))"
 
 
-@plan(rf"""with p as (select id, {FORM} t from papers where title is not null), r as (select record_id, {FORM} t from metadata_records where title is not null),
-  c as (select record_id, p.id, round(1 - levenshtein(r.t, p.t) * 1.0 / greatest(length(r.t), length(p.t)), 4) score from r join (select t, min(id) id from p where t <> '' group by t) p on left(r.t, 16) = left(p.t, 16))
-  select record_id, id as paper_id, score from c where score >= 0.75 qualify row_number() over (partition by record_id order by score desc, id) = 1""")
+@plan(rf"""with p as (select id, {FORM} t, {FAMILIES.format("from_json(coalesce(nullif(authors, ''), '[]'), '[" + '"VARCHAR"' + "]')")} f from papers where title is not null), r as (select record_id, {FORM} t, {FAMILIES.format("coalesce(authors, [])")} f from metadata_records where title is not null),
+  q as (select t, f, min(id) id from p where t <> '' group by t, f), u as (select t from q union select t from r), {RARE}, m as (select distinct x.t a, y.t b from k x join k y using (w)),
+  s as (select record_id, q.id, round(0.7 * (1 - levenshtein(r.t, q.t) * 1.0 / greatest(length(r.t), length(q.t))) + 0.3 * case when len(r.f) > 0 and len(q.f) > 0 then len(list_intersect(r.f, q.f)) * 1.0 / least(len(r.f), len(q.f)) else 0 end, 4) score from m join r on r.t = m.a join q on q.t = m.b)
+  select record_id, id as paper_id, score from s where score >= 0.75 qualify row_number() over (partition by record_id order by score desc, id) = 1""")
 def j11_best_candidate(s: SparkSession, d: str) -> DataFrame:
-    p = papers(s, d).where("title is not null").select("id", tx.ascii_form("title").alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
-    r = table(s, d, "metadata_records").where("title is not null").select("record_id", tx.ascii_form("title").alias("rt"))
-    c = r.join(p, F.substring("rt", 1, 16) == F.substring("t", 1, 16)).select("record_id", "id", F.round(sim.edit_ratio(F.col("rt"), F.col("t")), 4).alias("score")).where("score >= 0.75")
+    """The best paper of each record by title (0.7) and family names of authors (0.3), among those that have one of their three rarest words in common."""
+    families = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.lower(tx.family(x))))
+    p = papers(s, d).where("title is not null").select("id", tx.ascii_form("title").alias("t"), families(F.from_json("authors", "array<string>")).alias("f")).where("t <> ''").groupBy("t", "f").agg(F.min("id").alias("id"))
+    r = table(s, d, "metadata_records").where("title is not null").select("record_id", tx.ascii_form("title").alias("rt"), families(F.col("authors")).alias("rf"))
+    titles = p.select("t").unionByName(r.select(F.col("rt").alias("t"))).distinct()
+    words = joins.rare_words(titles, "t", "t", joins.word_counts(titles, "t"))
+    met = words.toDF("rt", "word").join(words.hint("merge"), "word").select("rt", "t").distinct()
+    both = F.when((F.size("rf") > 0) & (F.size("f") > 0), F.size(F.array_intersect("rf", "f")) / F.least(F.size("rf"), F.size("f"))).otherwise(0.0)
+    score = F.round(0.7 * (1 - F.levenshtein("rt", "t") / F.greatest(F.length("rt"), F.length("t"))) + 0.3 * both, 4)
+    c = r.join(met.hint("merge"), "rt").join(p.hint("merge"), "t").select("record_id", "id", score.alias("score")).where("score >= 0.75")
     best = c.groupBy("record_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("v"))
     return best.select("record_id", F.col("v.id").alias("paper_id"), "v.score")
 

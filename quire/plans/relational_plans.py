@@ -188,19 +188,20 @@ def j07_dictionary_lookup(s: SparkSession, d: str) -> DataFrame:
     return p.join(t, "source", "left").groupBy("source", "trust_rank", v.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@plan("""select source, name, similarity from (select distinct lower(trim(p.source)) source, n.n_name as name, round(1 - levenshtein(lower(trim(p.source)), lower(n.n_name)) / greatest(length(trim(p.source)), length(n.n_name)), 4) similarity
-  from (select distinct source from documents where source is not null) p, nation n) qualify row_number() over (partition by source order by similarity desc, name) <= 3""")
+@plan("""with m as (select distinct trim(regexp_replace(lower(name), '[^a-z.,'' -]', '', 'g')) name from (select unnest(from_json(authors, '["VARCHAR"]')) name from papers)), n as (select n_name as entry from nation)
+  select name, entry, round(1 - levenshtein(name, lower(entry)) / greatest(length(name), length(entry)), 4) similarity from m, n where name <> '' qualify row_number() over (partition by name order by round(1 - levenshtein(name, lower(entry)) / greatest(length(name), length(entry)), 4) desc, entry) <= 5""")
 def j08_nearest_names(s: SparkSession, d: str) -> DataFrame:
-    m = table(s, d, "documents").where("source is not null").select(F.lower(F.trim("source")).alias("source")).distinct()
-    n = table(s, d, "nation").select(F.col("n_name").alias("name"))  # a dimension of fixed size
-    return joins.nearest(m, "source", n, "name", 3)
+    """The five entries of a dictionary nearest to each author's name (its ASCII letters: the SQL counts bytes)."""
+    m = table(s, d, "papers").select(F.explode(F.from_json("authors", "array<string>")).alias("name")).select(F.trim(tx.sub(F.lower("name"), "[^a-z.,' -]")).alias("name")).where("name <> ''").distinct()
+    return joins.nearest(m, "name", table(s, d, "nation").select(F.col("n_name").alias("entry")), "entry", 5)
 
 
-@plan("with w as (select distinct source w from documents where length(source) >= 3), n as (select source || 's' n from mix_targets union select source from mix_targets) select w as word, n as name from w, n where levenshtein(w, n) = 1")
+@plan(r"""with w as (select distinct unnest(regexp_extract_all(lower(title), '\p{L}{3,}')) w from papers), n as (select distinct unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) n from documents) select w as word, n as name from w, n where regexp_matches(w, '^[a-z]+$') and regexp_matches(n, '^[a-z]+$') and abs(length(w) - length(n)) <= 1 and case when abs(length(w) - length(n)) <= 1 then levenshtein(w, n) = 1 end""")
 def j09_one_edit(s: SparkSession, d: str) -> DataFrame:
-    w = table(s, d, "documents").where(F.length("source") >= 3).select(F.col("source").alias("word")).distinct()
-    t = table(s, d, "mix_targets").select("source")
-    return joins.one_edit(w, "word", t.select(F.concat("source", F.lit("s")).alias("name")).union(t.toDF("name")).distinct(), "name")
+    """Words of titles one edit from a word of the documents (ASCII words: the SQL counts bytes)."""
+    words = lambda c: F.explode(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{3,}"), 0), lambda w: w.rlike("^[a-z]+$")))
+    p, t = table(s, d, "papers"), table(s, d, "documents")
+    return joins.one_edit(p.select(words("title").alias("word")).distinct(), "word", t.select(words("text").alias("name")).distinct(), "name")
 
 
 @plan("""with inc as (select file_path, max(file_size) file_size from pdf_cache group by 1) select coalesce(p.file_path, i.file_path) file_path, p.id, p.created_at, coalesce(i.file_size, p.file_size) as file_size,
@@ -215,11 +216,12 @@ def j12_cache_hits(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "papers").join(c, ["file_path", "file_size"], "left").select("id", F.col("h").isNotNull().alias("hit"))
 
 
-@plan("""with r as (select doc_id, source, lower(left(text, 120)) t, row_number() over (partition by source order by doc_id) rn from documents where source is not null)
-  select a.doc_id doc_a, b.doc_id doc_b from r a join r b on a.source = b.source and b.rn between a.rn + 1 and a.rn + 9 where a.t <> b.t and levenshtein(a.t, b.t) <= 0.4 * greatest(length(a.t), length(b.t))""")
+@plan("""with r as (select doc_id, source, text, row_number() over (partition by source order by doc_id) rn from documents where source is not null and text is not null)
+  select a.doc_id doc_a, b.doc_id doc_b from r a join r b on a.source = b.source and b.rn between a.rn + 1 and a.rn + 49 where a.text <> b.text
+  and case when abs(length(a.text) - length(b.text)) <= floor(0.08 * greatest(length(a.text), length(b.text))) then levenshtein(a.text, b.text) <= floor(0.08 * greatest(length(a.text), length(b.text))) else false end""")
 def j13_band_pairs(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "documents").where("source is not null").select("doc_id", "source", F.lower(F.left("text", F.lit(120))).alias("t"))
-    return joins.band_pairs(r, "doc_id", "source", "t", 9, 0.6)
+    """Near duplicates among the 49 next documents of a source, by whole texts."""
+    return joins.band_pairs(table(s, d, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text", 49, 0.92)
 
 
 @plan(r"""select doc_id from (select doc_id, row_number() over (partition by md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))) order by doc_id) rn from documents where text is not null) where rn = 1""")

@@ -32,7 +32,7 @@ def n11_plain_latex(s: SparkSession, d: str) -> DataFrame:
     return papers(s, d).select("id", tx.plain_latex("title").alias("form"))
 
 
-@plan(None)
+@plan("select id, nfc_normalize(title) as form from papers")
 def n05_composed(s: SparkSession, d: str) -> DataFrame:
     return papers(s, d).select("id", tx.composed("title").alias("form"))
 

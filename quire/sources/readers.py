@@ -97,3 +97,41 @@ def unify(*parts: DataFrame) -> DataFrame:
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in an order that only the key and the seed decide."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """The JSON lines of one split (train, validation, test) of a data set; a missing split gives no rows."""
+    try:
+        return spark.read.json(f"{folder}/{split}.jsonl").withColumn("split", F.lit(split))
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "split string")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of dictionaries in YAML (a list of names with their variants, by language): language, canonical, variants.
+
+    One file is one small dimension, so a file is parsed whole; entries without a canonical form are left out.
+    """
+    import yaml
+
+    language = F.regexp_extract("path", r"([^/]+)\.ya?ml$", 1)
+    files = spark.read.format("binaryFile").load(path).select(language.alias("language"), F.col("content").cast("string").alias("text"))
+    shape = "language string, canonical string, variants array<string>"
+
+    def entries(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for lang, text in zip(pdf["language"], pdf["text"], strict=True):
+                top = yaml.safe_load(text) or []
+                for e in top.values() if isinstance(top, dict) else top:
+                    for one in e if isinstance(e, list) else [e]:
+                        name = one.get("canonical") or one.get("name") if isinstance(one, dict) else str(one)
+                        if name:
+                            rows.append((lang, str(name), [str(v) for v in (one.get("variants") or [])] if isinstance(one, dict) else []))
+            yield pd.DataFrame(rows, columns=["language", "canonical", "variants"])
+
+    return files.mapInPandas(entries, shape)

@@ -74,3 +74,38 @@ def test_stats(spark):
     assert {tuple(r) for r in stats.upper_median(d, "g", "v").collect()} == {("a", 3), ("b", 7)}
     e = spark.createDataFrame([("u", i, float(x)) for i, x in enumerate((1, 0, 4))], "g string, o int, v double")
     assert stats.exponential_average(e, "g", ["o"], "v", 0.3).first()["ema"] == pytest.approx((1 * 0.7 + 0) * 0.7 + 4 * 0.3)
+
+
+def test_band_pairs_brute_force(spark):
+    import random
+
+    from quire.operators import joins
+
+    rng = random.Random(3)
+    texts = []
+    for i in range(30):
+        base = "".join(rng.choice("abcde fgh") for _ in range(rng.randrange(40, 90)))
+        for _ in range(4):
+            t = list(base)
+            for _ in range(rng.randrange(0, 8)):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            texts.append("".join(t))
+    rows = [(i, "hot" if i % 3 else "cold", t) for i, t in enumerate(texts)] + [(900, None, "x"), (901, "hot", None), (902, "hot", "")]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    truth = set()
+    for g in ("hot", "cold"):
+        own = [(i, t) for i, s, t in rows if s == g and t is not None]
+        for k, (i, t) in enumerate(own):
+            truth |= {(i, j) for j, u in own[k + 1 : k + 8] if t != u and distance(t, u) <= int(0.08 * max(len(t), len(u)) + 1e-9)}
+    d = spark.createDataFrame(rows, "id long, source string, text string").repartition(5)
+    assert {tuple(r) for r in joins.band_pairs(d, "id", "source", "text", 7, 0.92).collect()} == truth and len(truth) > 5
+    assert joins.band_pairs(d.limit(0), "id", "source", "text", 7, 0.92).count() == 0
+    assert [r["rn"] for r in joins.places(d, "id").orderBy("id").collect()] == list(range(len(rows)))

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from quire.sources import readers, writers
 
 
@@ -56,3 +58,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/log").count() == 1
     writers.write_report(d, f"{tmp_path}/r")
     assert writers.long_audit(d, ["i", "s"]).count() == 1
+
+
+def test_splits_and_dictionaries(spark, tmp_path):
+    (tmp_path / "train.jsonl").write_text('{"prompt": "a"}\n{"prompt": "b"}\n')
+    assert readers.read_split(spark, str(tmp_path), "train").count() == 2 and readers.read_split(spark, str(tmp_path), "test").count() == 0
+    pytest.importorskip("yaml")
+    (tmp_path / "german.yaml").write_text("- canonical: Gauss, C. F.\n  variants: [Gauß, Gauss]\n- Hilbert\n- {variants: [x]}\n")
+    got = {(r["language"], r["canonical"], tuple(r["variants"])) for r in readers.read_dictionary(spark, f"{tmp_path}/*.yaml").collect()}
+    assert got == {("german", "Gauss, C. F.", ("Gauß", "Gauss")), ("german", "Hilbert", ())}
