@@ -7,7 +7,9 @@ dropped. Spellings that share a form are joined by equality of forms, never by c
 Slips of the hand are rewritings too: each form with one character left out, so two forms within
 one insertion, deletion, substitution or exchange meet and are then checked exactly. A rewriting is
 worth more the rarer it is: an initial counts only where it leads to a single person of that family
-name; a slip leads to the most frequent form.
+name; a slip leads to the most frequent form, which must be at least ``TIMES`` as frequent or have a
+name that others bear while the slip's has none, and the rarer it is beside it, the surer it is. Names with different middle initials are different persons,
+and one without is then linked to neither.
 
 Defined cases: null, empty or malformed author lists have no names; blank names are left out;
 a name of any length is read whole; repeated rows count towards frequency only; ties of frequency
@@ -54,6 +56,7 @@ LEGAL = {
 HEADS = {"collaboration", "group", "working group", "laboratory", "institute", "consortium", "project", "network", "team", "university", "centre", "society", "department", "foundation", "academy", "school", "association"}
 DROPPED = {"the", "for", "of", "on", "in", "and", "&", "at", "a", "an"}
 SHORT = 4  # letters that an abbreviated word of an organisation's theme keeps
+TIMES = 2  # a form is so many times as frequent as a slip of it
 SLIP = 0.1  # a given name with a smaller share of the rows of one a slip away is a slip
 
 
@@ -126,14 +129,20 @@ def person(name: str) -> tuple[str, str, str] | None:
 KNOWN = {*NICKNAMES, *NICKNAMES.values()}
 
 
-def canonical(name: str) -> tuple[str, str] | None:
-    """The form that all other rewritings start from: (given name, initial or theme; family name)."""
+def written(name: str) -> tuple[str, str, str] | None:
+    """(given name, initial or theme; family name; middle initials)."""
     if not name or not name.strip():
         return None
     if org := organisation(name):
-        return org
+        return *org, ""
     p = person(name)
-    return (p[0], p[2]) if p else None
+    return (p[0], p[2], p[1]) if p else None
+
+
+def canonical(name: str) -> tuple[str, str] | None:
+    """The form that all other rewritings start from: (given name, initial or theme; family name)."""
+    w = written(name)
+    return w[:2] if w else None
 
 
 def near(a: str, b: str) -> bool:
@@ -149,13 +158,13 @@ def near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and len(x) > 1 and len(y) > 1 and x[2:] == y[2:])
 
 
-FORM = T.StructType([T.StructField("given", T.StringType()), T.StructField("family", T.StringType())])
+FORM = T.StructType([T.StructField(c, T.StringType()) for c in ("given", "family", "middle")])
 
 
 @F.pandas_udf(FORM)
 def forms(names: pd.Series) -> pd.DataFrame:
-    out = [canonical(n) or (None, None) for n in names]
-    return pd.DataFrame(out, columns=["given", "family"])
+    out = [written(n) or (None, None, None) for n in names]
+    return pd.DataFrame(out, columns=["given", "family", "middle"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -186,21 +195,27 @@ def entities(papers: DataFrame, authors: str = "authors") -> DataFrame:
     # not much more rarely than any name a slip away from it: shares of rows, which do not change as a table grows.
     people = cut(full.where(~F.col("given").startswith("#")).groupBy("given").agg(F.sum("n").alias("rows")))
     spelled = people.select("given", "rows", slips("given").alias("key"))
-    beside = spelled.join(spelled.toDF("given_y", "rows_y", "key"), "key").where("given <> given_y and rows < rows_y").select("given", "given_y", "rows_y").distinct().where(within_one("given", "given_y"))
-    people = people.join(beside.groupBy("given").agg(F.max("rows_y").alias("most")), "given", "left")
-    full = full.join(people, "given", "left").withColumn("others", F.col("rows") - F.col("n"))
+    beside = spelled.join(spelled.toDF("given_y", "rows_y", "key").hint("merge"), "key").where("given <> given_y and rows < rows_y").select("given", "given_y", "rows_y").distinct().where(within_one("given", "given_y"))
+    people = people.join(beside.groupBy("given").agg(F.max("rows_y").alias("most")).hint("merge"), "given", "left")
+    full = full.join(people.hint("merge"), "given", "left").withColumn("others", F.col("rows") - F.col("n"))
     known = F.col("given").isin(sorted(set(NICKNAMES.values())))
     full = full.withColumn("usual", known | F.coalesce((F.col("others") > 0) & (F.col("others") >= SLIP * F.coalesce("most", F.lit(0))), F.lit(False)))
-    keys = full.select("form", "given", "family", "n", "usual", slips("form").alias("key"))
-    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("form", "given", "family", "n", "usual"))) for s in "ab")
-    met = a.join(b, "key").where("form_a <> form_b and (n_b, form_a) > (n_a, form_b) and not (usual_a and usual_b and given_a <> given_b)")
+    borne = full.groupBy("family").agg(F.sum("n").alias("family_n"))
+    full = full.join(borne.hint("merge"), "family").withColumn("shared", F.col("family_n") > F.col("n"))  # others bear the family name
+    columns = ("form", "given", "family", "n", "usual", "shared")
+    keys = full.select(*columns, slips("form").alias("key"))
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
+    met = a.join(b.hint("merge"), "key").where("form_a <> form_b and (n_b, form_a) > (n_a, form_b)")
+    # A form that is not much rarer is a slip only if it alone has its name, and the other form's name has others that bear it.
+    met = met.where(f"n_b >= {TIMES} * n_a or (family_a <> family_b and not shared_a and shared_b) or (given_a <> given_b and not usual_a and usual_b)")
+    met = met.where("not (usual_a and usual_b and given_a <> given_b)")
     met = met.where("given_a = given_b or family_a = family_b").where(~(F.col("given_a").startswith("#") & (F.col("given_a") != F.col("given_b"))))
     met = met.drop("key").distinct().where(within_one("form_a", "form_b"))
     to = met.groupBy("form_a").agg(F.max_by("form_b", F.struct("n_b", "form_b")).alias("to"))
-    root = cut(full.select("form", "given", "family", "n").join(to, full["form"] == to["form_a"], "left").select("form", "given", "family", "n", F.coalesce("to", "form").alias("root")))
+    root = cut(full.select("form", "given", "family", "n").join(to.hint("merge"), full["form"] == to["form_a"], "left").select("form", "given", "family", "n", F.coalesce("to", "form").alias("root")))
     while True:  # follow the slips of slips
         up = root.select(F.col("form").alias("root"), F.col("root").alias("next"))
-        new = cut(root.join(up, "root").select("form", "given", "family", "n", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        new = cut(root.join(up.hint("merge"), "root").select("form", "given", "family", "n", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         root = new.drop("moved")
         if new.where("moved").isEmpty():
             break
@@ -211,16 +226,25 @@ def entities(papers: DataFrame, authors: str = "authors") -> DataFrame:
     single = F.count("*").over(_by("i", "family")).alias("persons")
     heads = heads.select("i", "family", "root", "n", single)
     initials = names.where(F.length("given") == 1).groupBy(F.col("given").alias("i"), "family").agg(F.sum("n").alias("n_i"))
-    direct = initials.join(heads, ["i", "family"]).groupBy("i", "family").agg(F.max("persons").alias("persons"), F.max_by("root", F.struct("n", "root")).alias("root"))
-    lone = initials.join(direct, ["i", "family"], "left_anti").select("i", "family", slips("family").alias("key"))
+    direct = initials.join(heads.hint("merge"), ["i", "family"]).groupBy("i", "family").agg(F.max("persons").alias("persons"), F.max_by("root", F.struct("n", "root")).alias("root"))
+    lone = initials.join(direct.hint("merge"), ["i", "family"], "left_anti").select("i", "family", slips("family").alias("key"))
     around = heads.select(F.col("i").alias("j"), F.col("family").alias("other"), "root", "n", slips("family").alias("key2"))
-    by_slip = lone.join(around, (F.col("i") == F.col("j")) & (F.col("key") == F.col("key2"))).where(F.col("family") != F.col("other")).select("i", "family", "other", "root", "n").distinct()
+    by_slip = lone.join(around.hint("merge"), (F.col("i") == F.col("j")) & (F.col("key") == F.col("key2"))).where(F.col("family") != F.col("other")).select("i", "family", "other", "root", "n").distinct()
     by_slip = by_slip.where(within_one("family", "other")).groupBy("i", "family").agg(F.count_distinct("root").alias("persons"), F.max_by("root", F.struct("n", "root")).alias("root"))
     led = direct.unionByName(by_slip).select(F.col("i").alias("given"), "family", "persons", F.when(F.col("persons") == 1, F.col("root")).alias("leads"))
 
-    one = names.join(root.select("given", "family", "root"), ["given", "family"], "left").join(led, ["given", "family"], "left")
-    entity = F.coalesce("root", "leads", F.concat_ws("|", "given", "family"))
-    score = F.when(F.length("given") > 1, F.when(F.col("root") == F.concat_ws("|", "given", "family"), 1.0).otherwise(0.9)).otherwise(1.0 / F.coalesce("persons", F.lit(1)))
+    one = names.join(root.select("given", "family", "root").hint("merge"), ["given", "family"], "left").join(led.hint("merge"), ["given", "family"], "left")
+    one = one.withColumn("entity", F.coalesce("root", "leads", F.concat_ws("|", "given", "family")))
+    rows = root.groupBy("root").agg(F.sum(F.when(F.col("form") == F.col("root"), F.col("n"))).alias("root_n"))
+    own = root.select("given", "family", F.col("n").alias("form_n"))
+    one = one.join(rows.hint("merge"), "root", "left").join(own.hint("merge"), ["given", "family"], "left")
+    # Different middle initials of one given and family name are different persons.
+    middles = one.where("middle <> ''").groupBy("entity").agg(F.count_distinct(F.substring("middle", 1, 1)).alias("middles"))
+    one = one.join(middles.hint("merge"), "entity", "left")
+    apart = (F.col("middles") > 1) & (F.col("middle") != "")
+    entity = F.when(apart, F.concat_ws("|", "entity", F.substring("middle", 1, 1))).otherwise(F.col("entity"))
+    slip = F.col("root_n") / (F.col("root_n") + F.col("form_n"))
+    score = F.when(F.length("given") > 1, F.when(F.col("root") == F.concat_ws("|", "given", "family"), 1.0).otherwise(slip)).otherwise(1.0 / F.coalesce("persons", F.lit(1)))
     return one.select("name", "n", entity.alias("entity"), F.round(score, 4).alias("score"))
 
 
@@ -233,7 +257,7 @@ def _by(*cols: str):
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = cut(entities(table(spark, sf_dir, "papers").select("authors")).select("entity", "name"))
     a, b = e.withColumnRenamed("name", "name_a"), e.withColumnRenamed("name", "name_b")
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    return a.join(b.hint("merge"), "entity").where("name_a < name_b").select("name_a", "name_b")
 
 
 def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,15 @@ def test_p7_slips_of_given_names_in_many_families(spark, tables):
     assert {tuple(r) for r in p7.p7_found(spark, at).collect()} == {(f"Ondrej {f}", f"Ondrzej {f}") for f in families}
 
 
+def test_p7_middle_initials_and_neighbours(spark):
+    lists = ['["John A. Smith", "Wei Zhang"]'] * 5 + ['["John B. Smith", "Wei Zheng"]'] * 4 + ['["J. A. Smith", "Wei Zhagn"]', '["John Smith"]', '["Ada Q. Berg"]', '["Ada Berg"]']
+    e = {r["name"]: r for r in p7.entities(spark.createDataFrame([(x,) for x in lists], "authors string")).collect()}
+    same = lambda *ns: len({e[n]["entity"] for n in ns}) == 1
+    assert same("John A. Smith", "J. A. Smith") and not same("John A. Smith", "John B. Smith") and not same("John Smith", "John A. Smith")
+    assert same("Ada Q. Berg", "Ada Berg") and same("Wei Zhang", "Wei Zhagn") and not same("Wei Zhang", "Wei Zheng")
+    assert e["Wei Zhang"]["score"] == 1 and 0.8 < e["Wei Zhagn"]["score"] < 0.9
+
+
 def test_all_run_on_the_smallest_tables(spark, small):
     for name, f in queries.queries().items():
         df = f(spark, small)
