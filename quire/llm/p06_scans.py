@@ -32,6 +32,7 @@ SECTION = r"^\s*(\d+|[IVX]+)(\.\d+)*\.\s"
 WORDS = r"[\p{L}0-9!]*\p{L}[\p{L}0-9!]*"
 MATH = r"\$[^$]*\$|\\[A-Za-z]+|\$.*$"
 HYPHEN = r"(\p{L}[\p{L}0-9!]*)[-‐¬­]$"
+SHARE = 2000  # a header is in one of so many texts
 TIMES = 8  # a frequent form is so many times as frequent as its misreading
 BROADCAST_ROWS = 200_000
 
@@ -96,9 +97,11 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     last = F.regexp_extract("line", r"([^,]*)$", 1)
     masked = F.regexp_replace(last, r"[\p{L}!]*\d[\p{L}\d!]*", "#")
     numbered = (F.col("kind") == "text") & F.col("line").rlike(r"^\s*[\p{Lu}\d].*\d") & masked.rlike("#\\W*$") & ~F.col("line").rlike(r"[$\\]|[.-]$")
-    one = one.withColumn("mask", F.when(numbered, skeletons(F.lower(F.trim(masked)))))
-    masks = one.where("mask is not null").groupBy("mask").agg(F.count("*").alias("n")).where("n >= 3").select("mask", F.lit(True).alias("again"))
-    one = one.join(masks, "mask", "left")
+    one = cut(one.withColumn("mask", F.when(numbered, skeletons(F.lower(F.trim(masked))))))
+    # Again and again, and in a share of all texts: chance repetitions of a line of text stay below it at any size.
+    texts = one.agg(F.count_if(F.col("line_no") == 1).alias("texts")).scalar()
+    masks = one.where("mask is not null").groupBy("mask").agg(F.count("*").alias("n")).where((F.col("n") >= 3) & (F.col("n") * SHARE >= texts)).select("mask", F.lit(True).alias("again"))
+    one = one.join(masks.hint("merge"), "mask", "left")
     return one.select("file_path", "copy", "line_no", "line", F.when(F.col("again"), "header").otherwise(F.col("kind")).alias("kind"))
 
 
@@ -134,14 +137,14 @@ def repaired(df: DataFrame, key: str = "file_path", text: str = "text_extract")
     compounds = every.where("kind = 'text'").select(F.explode(inner).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     compounds = compounds.groupBy(skeletons(F.regexp_replace("c", "-", "")).alias("skeleton")).agg(F.sum("n").alias("as_compound"))
     joined = whole.groupBy("w").agg(F.count("*").alias("n")).groupBy(skeletons("w").alias("skeleton")).agg(F.sum("n").alias("as_word"))
-    kept = pairs.withColumn("skeleton", skeletons("w")).join(compounds, "skeleton", "left").join(joined, "skeleton", "left")
+    kept = pairs.withColumn("skeleton", skeletons("w")).join(compounds.hint("merge"), "skeleton", "left").join(joined.hint("merge"), "skeleton", "left")
     kept = kept.where("coalesce(as_compound, 0) > coalesce(as_word, 0)").select("file_path", "copy", "line_no").withColumn("compound", F.lit(True))
     every = cut(every.join(kept, ["file_path", "copy", "line_no"], "left"))
 
     # Misread forms: much rarer than a form of the same skeleton that known confusions explain.
     rare = counts.select(F.col("w").alias("read"), F.col("n").alias("read_n"), "skeleton").where("length(read) > 1")
     often = counts.where("n >= 3").select(F.col("w").alias("meant"), F.col("n").alias("meant_n"), "skeleton").where(~F.col("meant").rlike("[0-9!]"))
-    near = rare.join(often, "skeleton").where((F.col("meant_n") >= TIMES * F.col("read_n")) & (F.col("meant") != F.col("read")) & (F.abs(F.length("meant") - F.length("read")) <= 3))
+    near = rare.join(often.hint("merge"), "skeleton").where((F.col("meant_n") >= TIMES * F.col("read_n")) & (F.col("meant") != F.col("read")) & (F.abs(F.length("meant") - F.length("read")) <= 3))
     near = near.where(explained("meant", "read")).groupBy("read").agg(F.max_by("meant", F.struct("meant_n", "meant")).alias("meant"))
     # A digit or mark inside a word is wrong even where the form meant is not known.
     marked = counts.where(F.col("w").rlike(r"\p{L}[0156!]\p{L}|^[0156!]\p{L}{3}|\p{L}{3}[0156]$") & (F.length(F.regexp_replace("w", r"[^\p{L}]", "")) >= 4))

@@ -67,8 +67,15 @@ def water_fill(sources: dict[str, tuple[float, float, float]], total: float) ->
     return out
 
 
-def plan(documents: DataFrame, targets: DataFrame, seed: int = 7, total: float | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``tokens`` and ``repeats``, report by source). The default total is all tokens of the sources with targets."""
+def reachable(sources: dict[str, tuple[float, float, float]]) -> float:
+    """The largest total at which every source that has documents still gets its share (shares of the others set aside)."""
+    open_ = [(p, t * m) for p, t, m in sources.values() if p > 0 and t * m > 0]
+    weight = sum(p for p, _ in open_)
+    return min((room * weight / p for p, room in open_), default=0.0)
+
+
+def plan(documents: DataFrame, targets: DataFrame, seed: int = 7, total: float | str | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+    """(documents with ``tokens`` and ``repeats``, report by source). The default total is all tokens of the sources with targets; "reachable" is the largest that meets every target."""
     spark = documents.sparkSession
     goals = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source is not null")
     docs = documents.select("doc_id", "source", "text").join(F.broadcast(goals.select("source")), "source", "left_semi")
@@ -76,7 +83,7 @@ def plan(documents: DataFrame, targets: DataFrame, seed: int = 7, total: float |
     have = goals.join(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").fillna(0, ["tokens"])
     rows = have.collect()  # one row a target: their table is a setting, not data
     known = {r["source"]: (float(r["target_share"]), float(r["tokens"]), float(r["max_repeats"])) for r in rows}
-    asked = total if total is not None else sum(t for _, t, _ in known.values())
+    asked = reachable(known) if total == "reachable" else total if total is not None else sum(t for _, t, _ in known.values())
     goal = water_fill(known, asked)
     chosen = spark.createDataFrame(
         [(s, float(p), int(m), int(t), g, float(int(g // t)) if t else 0.0, g - (g // t) * t if t else 0.0, bool(t and g >= t * m)) for s, (p, t, m) in known.items() for g in [goal[s]]],
@@ -108,4 +115,9 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p9_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the largest mixture that meets every target whose source has documents."""
+    return plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total="reachable")[1]
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_reachable": p9_reachable}

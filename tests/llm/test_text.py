@@ -169,6 +169,14 @@ def test_p9_water_fill(rows, total):
         assert got[i] / s[i][0] == pytest.approx(got[free[0]] / s[free[0]][0])
 
 
+def test_p9_largest_total_that_meets_all_targets():
+    s = {"a": (0.5, 100.0, 2), "b": (0.25, 10.0, 3), "c": (0.25, 0.0, 4), "d": (0.0, 9.0, 1)}
+    total = p9.reachable(s)
+    got = p9.water_fill(s, total)
+    assert got["b"] == pytest.approx(30) and got["a"] == pytest.approx(60) and total == pytest.approx(90)
+    assert p9.reachable({}) == 0
+
+
 def test_p9_frame(spark):
     docs = [(i, "a" if i % 3 else "b", "word " * (1 + i % 40)) for i in range(3000)] + [(9000, None, "x"), (9001, "c", "x"), (9002, "a", None)]
     d = spark.createDataFrame(docs, "doc_id long, source string, text string")
