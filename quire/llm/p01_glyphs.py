@@ -2,8 +2,8 @@
 
 The text column is taken from Arrow as one UTF-8 buffer, decoded by numpy into an array of
 code points, and rewritten as a whole: table gathers with expansion offsets replace wide forms,
-ligatures, odd spaces and invisible characters; combining marks are ordered and composed by
-pair look-ups; look-alike letters are replaced in words that mix scripts. No string function is
+ligatures, odd spaces and invisible characters (but joiners within words of scripts that need them, and
+those of emoji); combining marks are ordered and composed by pair look-ups, Korean letters by their numbers; look-alike letters are replaced in words that mix scripts. No string function is
 called per row.
 
 Defined cases: null stays null; empty text stays empty; text of any length is treated whole;
@@ -75,6 +75,9 @@ class Tables:
                 two = [int(x, 16) for x in unicodedata.decomposition(ch).split()]
                 if len(two) == 2 and unicodedata.normalize("NFC", chr(two[0]) + chr(two[1])) == ch:
                     pairs.append((two[0], two[1], cp))
+            if 0xFB50 <= cp <= 0xFDFF or 0xFE70 <= cp <= 0xFEFC:  # Arabic letters in the shape of their place
+                if (plain := unicodedata.normalize("NFKD", ch)) != ch and all(unicodedata.category(x)[0] == "L" for x in plain):
+                    expand(cp, plain)
             if 0xFF01 <= cp <= 0xFFDC or 0xFFE0 <= cp <= 0xFFEE or 0xFB00 <= cp <= 0xFB06:  # wide, narrow, ligatures
                 if (plain := unicodedata.normalize("NFKD", ch)) != ch:
                     expand(cp, plain)
@@ -161,6 +164,41 @@ def compose(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp, row
 
 
+def syllables(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Korean letters joined to syllables: first and vowel, then syllable and last."""
+    if not ((cp >= 0x1161) & (cp <= 0x11C2)).any():
+        return cp, row
+    same = np.r_[row[1:] == row[:-1], False]
+    after = np.r_[cp[1:], 0]
+    pair = same & (cp >= 0x1100) & (cp <= 0x1112) & (after >= 0x1161) & (after <= 0x1175)
+    i = np.flatnonzero(pair)
+    cp = cp.copy()
+    cp[i] = 0xAC00 + ((cp[i] - 0x1100) * 21 + (cp[i + 1] - 0x1161)) * 28
+    keep = np.ones(len(cp), bool)
+    keep[i + 1] = False
+    cp, row = cp[keep], row[keep]
+    same = np.r_[row[1:] == row[:-1], False]
+    after = np.r_[cp[1:], 0]
+    open_ = same & (cp >= 0xAC00) & (cp <= 0xD7A3) & ((cp - 0xAC00) % 28 == 0) & (after >= 0x11A8) & (after <= 0x11C2)
+    i = np.flatnonzero(open_)
+    cp[i] += cp[i + 1] - 0x11A7
+    keep = np.ones(len(cp), bool)
+    keep[i + 1] = False
+    return cp[keep], row[keep]
+
+
+def needed_joiners(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Joiners between letters of scripts that shape them, and joiners and selectors behind emoji: both are seen."""
+    joins, selects = (cp == 0x200C) | (cp == 0x200D), (cp == 0xFE0E) | (cp == 0xFE0F)
+    if not (joins | selects).any():
+        return np.zeros(len(cp), bool)
+    before = np.r_[0, np.where(row[1:] == row[:-1], cp[:-1], 0)]
+    after = np.r_[np.where(row[1:] == row[:-1], cp[1:], 0), 0]
+    shaped = lambda x: ((x >= 0x0600) & (x < 0x0E00)) | ((x >= 0x1000) & (x < 0x10A0)) | ((x >= 0x1780) & (x < 0x18B0))
+    emoji = lambda x: (x >= 0x1F000) | ((x >= 0x2190) & (x < 0x2C00)) | (x == 0xFE0F)
+    return (joins & shaped(before) & shaped(after)) | ((cp == 0x200D) & emoji(before) & emoji(after)) | (selects & emoji(before))
+
+
 def unmix(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, bool]:
     """Replace look-alikes in words that mix Latin letters with Cyrillic or Greek ones.
 
@@ -215,12 +253,14 @@ def canonical_array(texts: pa.Array) -> pa.Array:
     cp, at = decode(data)
     row = np.repeat(np.arange(n), np.diff(np.searchsorted(at, offsets - offsets[0])))
     size = t.length[cp].astype(np.int64)
+    size[needed_joiners(cp, row)] = 1
     begin = np.cumsum(size) - size
     out, row = np.repeat(cp, size), np.repeat(row, size)
     inner = np.arange(len(out)) - np.repeat(begin, size)
     start = np.repeat(t.start[cp], size)
     out = np.where(start >= 0, t.pool[np.maximum(start, 0) + inner], out)
     out, row = compose(out, row)
+    out, row = syllables(out, row)
     if len(out):
         out, changed = unmix(out, row)
         if changed:

@@ -45,6 +45,14 @@ def test_p1_cases(text, want):
     assert one(want) == want
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("\u1112\u1161\u11ab\u1100\u116e\u11a8\u110b\u1165", "한국어"), ("\u1112\u1161x\u11ab", "하x\u11ab"), ("می\u200cخواهم", "می\u200cخواهم"), ("क\u094d\u200dष", "क\u094d\u200dष"), ("se\u200ct \u200d\ufe0fx", "set x"),
+    ("👩\u200d🔬 ❤\ufe0f", "👩\u200d🔬 ❤\ufe0f"), ("\ufedf\ufe8e", "لا"), ("\ufefb", "لا"), ("한국어", "한국어"),
+])
+def test_p1_scripts(text, want):
+    assert one(text) == want and one(want) == want
+
+
 def test_p1_frame(spark, tables):
     d = spark.createDataFrame([(1, "ａ" * 100_000, "x", "own"), (1, None, "", "own"), (2, "plain", "y z", "own")], "id long, title string, file_path string, title_extra string")
     assert {tuple(r) for r in p1.p1_found(spark, tables(papers=d)).collect()} == {(1, "title"), (2, "file_path")}
