@@ -18,7 +18,7 @@ counted once each; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
+import math
 
 import numpy as np
 import pandas as pd
@@ -84,82 +84,60 @@ def survivors(papers: DataFrame, trust: DataFrame, fields: list[str] = FIELDS) -
 
 
 Profile = list[dict[str, float]]  # a column: the weight of each token; "" is a gap
-GAP, CELLS = -0.35, 4_000_000
-
-
-def anchors(a: Profile, b: Profile) -> list[tuple[int, int]]:
-    """Columns to be aligned for sure in texts too long for one table: tokens found once in either, in rising order."""
-
-    def once(p: Profile) -> dict[str, int]:
-        heads = [max(sorted(c), key=c.__getitem__) for c in p]
-        n: dict[str, int] = {}
-        for t in heads:
-            n[t] = n.get(t, 0) + 1
-        return {t: i for i, t in enumerate(heads) if t and n[t] == 1}
-
-    x, y = once(a), once(b)
-    tails: list[int] = []
-    chain: list[tuple[int, int, int]] = []  # i, j, the one before
-    at: list[int] = []
-    for i, j in sorted((x[t], y[t]) for t in x.keys() & y.keys()):
-        k = bisect_left(tails, j)
-        chain.append((i, j, at[k - 1] if k else -1))
-        tails[k : k + 1], at[k : k + 1] = [j], [len(chain) - 1]
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(chain[k][:2])
-        k = chain[k][2]
-    return out[::-1]
+GAP, CELLS = -0.35, 4_000_000  # cells of the table in hand
 
 
 def path(a: Profile, b: Profile, wa: float, wb: float) -> list[tuple[int, int]]:
-    """Pairs of columns of a global alignment, -1 for a gap; whole rows of the table are filled at once."""
+    """Pairs of columns of the best global alignment, -1 for a gap; whole rows of the table are filled at once.
+
+    Of a table over ``CELLS`` only every so many rows are kept; the rows between are filled again on the way back.
+    """
     n, m = len(a), len(b)
-    if n * m > CELLS:
-        fixed = anchors(a, b)
-        if not fixed:  # nothing in common to hold on to: column by column
-            return [(i if i < n else -1, i if i < m else -1) for i in range(max(n, m))]
-        out, i, j = [], 0, 0
-        for x, y in [*fixed, (n, m)]:
-            out += [(i + p if p >= 0 else -1, j + q if q >= 0 else -1) for p, q in path(a[i:x], b[j:y], wa, wb)]
-            if x < n or y < m:
-                out.append((x, y))
-            i, j = x + 1, y + 1
-        return out
-    ids: dict[str, int] = {}
-    for c in (*a, *b):
-        for t in c:
-            if t:
-                ids.setdefault(t, len(ids))
-    where: dict[int, list[tuple[int, float]]] = {}
+    where: dict[str, list[tuple[int, float]]] = {}
     for j, c in enumerate(b):
         for t, w in c.items():
             if t:
-                where.setdefault(ids[t], []).append((j, w / wb))
+                where.setdefault(t, []).append((j, w / wb))
     steps = np.arange(m + 1) * GAP
-    table_ = np.empty((n + 1, m + 1))
-    table_[0] = steps
-    matches = np.full((n, m), -0.6)
-    for i, c in enumerate(a):
-        for t, w in c.items():
-            for j, v in where.get(ids[t], ()) if t else ():
-                matches[i, j] += 2 * v * w / wa
-        row = np.empty(m + 1)
-        row[0] = table_[i, 0] + GAP
-        row[1:] = np.maximum(table_[i, :-1] + matches[i], table_[i, 1:] + GAP)
-        table_[i + 1] = np.maximum.accumulate(row - steps) + steps  # gaps along the row
+
+    def fill(first: np.ndarray, begin: int, end: int):
+        """What each column of ``b`` matches, and the table, row by row from ``begin``, whose row is ``first``."""
+        row = first
+        for i in range(begin, end):
+            match = np.full(m, -0.6)
+            for t, w in a[i].items():
+                for j, v in where.get(t, ()) if t else ():
+                    match[j] += 2 * v * w / wa
+            new = np.empty(m + 1)
+            new[0] = row[0] + GAP
+            new[1:] = np.maximum(row[:-1] + match, row[1:] + GAP)
+            row = np.maximum.accumulate(new - steps) + steps  # gaps along the row
+            yield match, row
+
+    step = max(CELLS // (m + 1), math.isqrt(n), 1)
+    kept = {0: steps}
+    if n > step:
+        for i, (_, row) in enumerate(fill(steps, 0, n - 1), 1):
+            if i % step == 0:
+                kept[i] = row
     out = []
     i, j = n, m
-    while i or j:
-        if i and j and table_[i, j] <= table_[i - 1, j - 1] + matches[i - 1, j - 1] + 1e-9:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and table_[i, j] <= table_[i - 1, j] + GAP + 1e-9:
-            i -= 1
-            out.append((i, -1))
-        else:
-            j -= 1
-            out.append((-1, j))
+    for begin in sorted(kept, reverse=True):
+        rows, matches = [kept[begin]], []
+        for match, row in fill(kept[begin], begin, min(begin + step, n)):
+            matches.append(match)
+            rows.append(row)
+        while i > begin or (j and not begin):
+            here = rows[i - begin]
+            if i and j and here[j] <= rows[i - 1 - begin][j - 1] + matches[i - 1 - begin][j - 1] + 1e-9:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif i and here[j] <= rows[i - 1 - begin][j] + GAP + 1e-9:
+                i -= 1
+                out.append((i, -1))
+            else:
+                j -= 1
+                out.append((-1, j))
     return out[::-1]
 
 

@@ -72,6 +72,17 @@ def test_p2_alignment_of_long_values(monkeypatch):
         assert p2.edits(x, y) == plain(x, y)
 
 
+def test_p2_alignment_does_not_depend_on_size(monkeypatch):
+    rng = random.Random(6)
+    cases = []
+    for _ in range(60):
+        a, b = ([{rng.choice("abcdefghij") + str(rng.randrange(4)): 2.0, "": 1.0} if rng.random() < 0.5 else {rng.choice("abcdefghij"): 3.0} for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        cases.append((a, b, p2.path(a, b, 3.0, 3.0)))
+    for cells in (1, 50, 300):
+        monkeypatch.setattr(p2, "CELLS", cells)
+        assert all(p2.path(a, b, 3.0, 3.0) == whole for a, b, whole in cases)
+
+
 def test_p2_consensus(spark, monkeypatch):
     monkeypatch.setattr(p2, "CHUNK", 4)  # several rounds of merging
     good = "on the regular kernels of compact operators"
