@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -109,3 +110,19 @@ def test_band_pairs_brute_force(spark):
     assert {tuple(r) for r in joins.band_pairs(d, "id", "source", "text", 7, 0.92).collect()} == truth and len(truth) > 5
     assert joins.band_pairs(d.limit(0), "id", "source", "text", 7, 0.92).count() == 0
     assert [r["rn"] for r in joins.places(d, "id").orderBy("id").collect()] == list(range(len(rows)))
+
+
+def test_bigram_bits_bound_edits(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcde fgh12") for _ in range(rng.randrange(50)))
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", " "])
+        rows.append((a, "".join(b)))
+    d = spark.createDataFrame([*rows, ("", ""), (None, "q")], "a string, b string").repartition(3)
+    d = d.withColumns({"x": sim.bigram_bits("a"), "y": sim.bigram_bits("b"), "far": F.levenshtein("a", "b")}).where("a is not null").collect()
+    assert len(d) == 301
+    assert all(sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(r["x"], r["y"], strict=True)) <= 4 * r["far"] for r in d)

@@ -28,3 +28,10 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["keep_id", "copies", "wasted_chars"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_preprints_meet_without_their_texts(spark, small):
+    plan = QUERIES["j05_preprints"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert any("bit_count" in x and "levenshtein" not in x for x in joins)
+    assert not any("Aggregate" in x and "ta#" in x for x in plan.splitlines())
