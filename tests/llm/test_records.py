@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,15 @@ def test_p5_words_of_many_classes_in_cells(spark):
         assert {(r["class_a"], r["class_b"]) for r in links.collect()} == truth
 
 
+def test_p5_copies_do_not_grow_with_the_table():
+    words_ = pa.array([list(range(1, 41))], pa.list_(pa.int32()))
+    for total in (200_000, 2_000_000, 8_000_000):
+        known = np.arange(1, 41)
+        got = p5.ordered(words_, known, np.full(40, total // 50), total, 650_000, p5.chunk_size(total))  # each word in one of 50
+        assert {w >> 32 for w in got[0].as_py()[p5.MAPS :]} == {1}
+    assert p5.chunk_size(10**9) == p5.LARGEST and p5.chunk_size(0) == p5.CHUNK
+
+
 def test_p5_every_pair_at_the_threshold(spark, tables):
     rng = random.Random(11)
     usual, vocab = [f"u{i}" for i in range(30)], [f"w{i}" for i in range(3000)]
