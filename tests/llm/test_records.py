@@ -165,6 +165,43 @@ def test_p3_every_pair_alike_by_its_words(spark):
     assert truth <= got and len(got) < 60 * 50
 
 
+def test_p3_evidence_of_many_titles_at_once(monkeypatch):
+    rng = random.Random(8)
+    stems = ["operator", "operators", "oper", "opreator", "spectral", "spectrla", "graph", "graphs", "rgaph", "abcd", "acbd", "on", "of", "l2", "semi", "semigroups", "groups", "multi", "x"]
+    title = lambda: " ".join(dict.fromkeys(rng.choice(stems) for _ in range(rng.randrange(1, 9))))
+    rs, ps = ([title() for _ in range(3000)] for _ in range(2))
+    weight = lambda w: 1.0 + len(w) / 7 + (w[0] == "s")
+    whole = lambda t: ({w: weight(w) for w in t.split()}, sum(map(weight, t.split())), t.split()[-1])
+    one_by_one = [p3.title_evidence(whole(a), whole(b)) for a, b in zip(rs, ps, strict=True)]
+    for wide in (p3.WIDE, 3):
+        monkeypatch.setattr(p3, "WIDE", wide)
+        score, slight = p3.titles_evidence(rs, ps, weight)
+        assert np.allclose(score, [x for x, _ in one_by_one], atol=1e-12) and (slight == [x for _, x in one_by_one]).mean() > 0.999
+    assert [len(x) for x in p3.titles_evidence([], [], weight)] == [0, 0]
+
+
+def test_p3_confidences_of_whole_records():
+    record = np.repeat([3, 5, 9, 12], [4, 1, 6, 2])
+    hub, ones = np.array([0, 0, 1, 2, 0, 0, 0, 0, 4, 5, 5, 7, 8]), np.ones(13)
+    evidence = [np.linspace(0.55, 1, 13), np.array([-1.0, 1, 0, 0.5] * 3 + [1]), ones, -ones, np.arange(13) == 6]
+    z = p3.confidences(record, hub, *evidence)
+    # One work to a record: the second hub of the last record takes from the first; a part of another number is none.
+    assert z[6] < p3.LEAST < z[4] and p3.confidences(record[12:], hub[12:], *(e[12:] for e in evidence))[0] > z[12]
+    batches = pa.RecordBatch.from_arrays([pa.array(record), pa.array(hub)], ["record", "hub"])
+    for step in (1, 2, 5, 13):
+        parts = list(p3.runs((batches.slice(k, step) for k in range(0, 13, step)), "record"))
+        assert [r for t in parts for r in t["record"].to_pylist()] == record.tolist()
+        assert all(x["record"][-1].as_py() < y["record"][0].as_py() for x, y in itertools.pairwise(parts))
+        at = np.cumsum([0] + [len(t) for t in parts])
+        assert np.allclose(np.concatenate([p3.confidences(*(x[a:b] for x in (record, hub, *evidence))) for a, b in itertools.pairwise(at)]), z)
+
+
+def test_p7_letters_are_folded_as_whole_texts():
+    for text in ("Ångström", "ﬁne Łódź", "İSTANBUL", "a\u0323\u0302b", "Straße ½ ⅳ", "한글 각", "x\u200dy"):
+        lower = text.lower().replace("ß", "ss").replace("ł", "l").replace("ı", "i")
+        assert p7.fold(text) == "".join(c for c in p7.unicodedata.normalize("NFKD", lower) if not p7.unicodedata.combining(c) and p7.unicodedata.category(c) != "Cf")
+
+
 def test_p5_brute_force(spark, tables):
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(400)]
