@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,7 @@ from .p01_glyphs import canonical
 MARKER = r"\s*(\[\s*(\.\.\.|…)\s*\]|\(more\)|\[more\]|\.\.\.|…)\s*$"
 BROKEN = r"(&#?[A-Za-z0-9]*|\\[A-Za-z]*|[(\[{,:;–/-])$"
 STOPPED = r"[.!?][\"')\]]*$"
+ENDS = "\t\n\x0b\f\r\u0085\u2028\u2029"  # before these a pattern's $ may match
 MID_WORD = 0.65  # share of cuts that fall inside a word
 SENTENCE, EDGE = re.compile(r"[.!?]\s+"), re.compile(r"[.,;:!?()\[\]\"']+(?=\s|$)|(?<=\s)[(\[\"']+")
 FRAME_WORD = 1000  # a word is part of a frame if it is at least one of so many; thus there are at most so many
@@ -101,21 +104,48 @@ def _limits(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"field": first["field"], "source": first["source"], "n": [n for n, _ in found], "posterior": [p for _, p in found], "log_mean": mean, "log_dev": dev}).astype({"n": "int64"})
 
 
+def ends_with(c: Column, *ends: str) -> Column:
+    return reduce(or_, (c.endswith(e) for e in ends))
+
+
+def unmarked(c: Column) -> Column:
+    """Without the mark of omission; texts that cannot end in one are not searched."""
+    return F.when(ends_with(c, "...", "…", ")", "]", " ", *ENDS), F.regexp_replace(c, MARKER, "")).otherwise(c)
+
+
+def is_stopped(c: Column) -> Column:
+    return ends_with(c, ".", "!", "?") | (ends_with(c, '"', "'", ")", "]", *ENDS) & c.rlike(STOPPED))
+
+
+def is_broken(c: Column) -> Column:
+    times = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    opened = reduce(or_, (c.contains(a) & (times(a) > times(b)) for a, b in ("()", "[]")))
+    return ends_with(c, *"([{,:;–/-") | ((c.contains("&") | c.contains("\\") | ends_with(c, *ENDS)) & c.rlike(BROKEN)) | (c.contains("$") & (times("$") % 2 == 1)) | opened
+
+
+def line(c: Column) -> Column:
+    """Words in lower case, one space between two."""
+    low = F.lower(c)
+    return F.when(reduce(or_, (low.contains(x) for x in ("  ", "\t", "\n", "\x0b", "\f", "\r"))), F.regexp_replace(low, r"\s+", " ")).otherwise(low)
+
+
 def endings(df: DataFrame, fields: list[str], key: str = "id", source: str = "source") -> DataFrame:
     """One row a filled value: its text without the mark of omission, length and last word."""
     one = df.select(
         F.col(key).alias("id"),
         source_name(source).alias("source"),
-        F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.trim(canonical(F.col(f))).alias("text"), F.length(F.regexp_replace(F.trim(F.col(f)), MARKER, "")).cast("long").alias("raw_n")) for f in fields))).alias("v"),
+        F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.trim(canonical(F.col(f))).alias("text"), F.length(unmarked(F.trim(F.col(f)))).cast("long").alias("raw_n")) for f in fields))).alias("v"),
     ).select("id", "source", "v.*")
-    one = one.where("text <> ''").withColumn("bare", F.regexp_replace("text", MARKER, ""))
+    one = one.where("text <> ''").withColumn("bare", unmarked(F.col("text"))).withColumn("line", line(F.col("bare")))
     return one.select(
         "id", "source", "field", "bare",
         (F.col("bare") != F.col("text")).alias("marked"),
         F.length("bare").cast("long").alias("n"),
         "raw_n",
-        F.col("bare").rlike(STOPPED).alias("stopped"),
-        (F.col("bare").rlike(BROKEN) | (F.regexp_count("bare", F.lit(r"\$")) % 2 == 1) | (F.regexp_count("bare", F.lit(r"\(")) > F.regexp_count("bare", F.lit(r"\)"))) | (F.regexp_count("bare", F.lit(r"\[")) > F.regexp_count("bare", F.lit(r"\]")))).alias("broken"),
+        is_stopped(F.col("bare")).alias("stopped"),
+        is_broken(F.col("bare")).alias("broken"),
+        F.xxhash64("line").alias("text"),
+        plain_word(F.substring_index("line", " ", -1)).alias("last"),
     )
 
 
@@ -144,19 +174,18 @@ def cut_values(df: DataFrame, fields: list[str], key: str = "id", source: str =
     histogram = texts.groupBy("field", "source", "n").agg(F.count("*").alias("rows"))
     limits = cut(histogram.groupBy("field", "source").applyInPandas(_limits, "field string, source string, n long, posterior double, log_mean double, log_dev double"))
 
-    low = F.split(F.lower("bare"), r"\s+")
     for n, name in (("n", "by_n"), ("raw_n", "by_raw")):  # the cut may have come before or after the odd characters
         at = limits.select(F.col("field").alias("f_"), F.col("source").alias("s_"), F.col("n").alias("n_"), F.col("posterior").alias(name))
         rows = rows.join(F.broadcast(at), F.col("s_").eqNullSafe(F.col("source")) & (F.col("field") == F.col("f_")) & (F.col(n) == F.col("n_")), "left").drop("f_", "s_", "n_")
     rows = rows.withColumn("posterior", F.greatest("by_n", "by_raw")).drop("by_n", "by_raw", "raw_n")
-    rows = rows.withColumn("ws", low).withColumn("last", plain_word(F.element_at("ws", -1)))
 
     # How each word is used: at an end, or elsewhere. Values at a limit don't count as ends.
-    once = rows.withColumn("sure", F.col("posterior").isNull() & ~F.col("marked") & ~F.col("broken")).groupBy("field", F.xxhash64("ws").alias("text")).agg(F.first("ws").alias("ws"), F.max("sure").alias("sure"))
-    used = once.select("field", F.posexplode("ws").alias("at", "w"), F.size("ws").alias("size"), "sure")
+    once = rows.withColumn("sure", F.col("posterior").isNull() & ~F.col("marked") & ~F.col("broken")).groupBy("field", "text").agg(F.first("bare").alias("bare"), F.max("sure").alias("sure"))
+    used = once.select("field", F.split(line(F.col("bare")), " ").alias("ws"), "sure").select("field", F.posexplode("ws").alias("at", "w"), F.size("ws").alias("size"), "sure")
     final = F.col("at") == F.col("size") - 1
-    ends = F.col("w").rlike(STOPPED) | (final & F.col("sure") & (F.col("field") == "title"))
-    words = used.groupBy("field", plain_word(F.col("w")).alias("w")).agg(F.count_if(ends).alias("ends"), F.count_if(~final & ~ends).alias("inside")).where("ends + inside > 0")
+    used = used.groupBy("field", "w").agg(F.count("*").alias("all"), F.count_if(~final).alias("before"), F.count_if(final & F.col("sure") & (F.col("field") == "title")).alias("closing"))
+    stop = F.col("w").rlike(STOPPED)
+    words = used.groupBy("field", plain_word(F.col("w")).alias("w")).agg(F.sum(F.when(stop, F.col("all")).otherwise(F.col("closing"))).alias("ends"), F.sum(F.when(stop, F.lit(0)).otherwise(F.col("before"))).alias("inside")).where("ends + inside > 0")
     words = cut(words)
     total = words.groupBy("field").agg(F.sum("ends").alias("all_ends"), F.sum("inside").alias("all_inside"))
     known = words.groupBy("w").agg(F.sum(F.col("ends") + F.col("inside")).alias("seen")).where("seen > 1")
@@ -166,7 +195,7 @@ def cut_values(df: DataFrame, fields: list[str], key: str = "id", source: str =
     lasts = lasts.join(begun, "w", "left").select(F.col("w").alias("last"), "begins")
     tokens = words.agg(F.sum(F.col("ends") + F.col("inside"))).first()[0] or 0
     common = {r["w"] for r in words.groupBy("w").agg(F.sum(F.col("ends") + F.col("inside")).alias("seen")).where(F.col("seen") * FRAME_WORD > tokens).collect()}
-    rows = cut(rows.withColumn("frame", frames(common)("bare", "field")).withColumn("text", F.xxhash64("ws")).drop("ws", "bare"))
+    rows = cut(rows.withColumn("frame", frames(common)("bare", "field")).drop("bare"))
     whole = F.when(F.col("field") == "title", F.col("posterior").isNull()).otherwise(F.col("stopped"))
     of_text = cut(rows.groupBy("field", "text").agg(F.max(whole).alias("whole"), F.first("frame").alias("frame"), F.count_distinct("source").alias("sources")))
     seen = of_text.where("whole").groupBy("field", "frame").agg(F.count("*").alias("frame_ends"))

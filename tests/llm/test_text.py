@@ -279,3 +279,17 @@ def test_p4_copies_do_not_decide(spark):
     assert once and not any(i >= 1000 for i in once)
     twice = {r["id"] for r in p4.cut_values(d.unionByName(d.withColumn("id", F.col("id") + 10_000)), ["title"]).where("is_cut").collect()}
     assert twice == once | {i + 10_000 for i in once}
+
+
+def test_p4_endings_are_those_of_the_patterns(spark):
+    rng = random.Random(12)
+    pieces = ["word", "Ab", " ", "  ", "...", "…", "[...]", "[ … ]", "(more)", "[more]", ".", "!", "?", '"', "'", ")", "]", "(", "[", "{", ",", ":", ";", "–", "/", "-", "&", "&#", "&amp", "\\alpha", "\\", "$", "\t", "\n", "\x0b", "\r", "\u0085", "\u2028", "é"]
+    rows = [(("x" if rng.random() < 0.5 else "") + "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 7))),) for _ in range(20000)]
+    d = spark.createDataFrame([*rows, ("",)], "t string").select(F.trim("t").alias("t"))
+    c = F.col("t")
+    count = lambda x: F.regexp_count(c, F.lit(x))
+    broken = c.rlike(p4.BROKEN) | (count(r"\$") % 2 == 1) | (count(r"\(") > count(r"\)")) | (count(r"\[") > count(r"\]"))
+    pairs = {"unmarked": (p4.unmarked(c), F.regexp_replace(c, p4.MARKER, "")), "stopped": (p4.is_stopped(c), c.rlike(p4.STOPPED)), "broken": (p4.is_broken(c), broken), "line": (F.split(p4.line(c), " "), F.split(F.lower(c), r"\s+"))}
+    for name, (got, plain) in pairs.items():
+        assert d.where(~got.eqNullSafe(plain)).limit(3).collect() == [], name
+    assert all(0 < d.where(pairs[k][0]).count() < len(rows) for k in ("stopped", "broken"))
